@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The analyses this library rebuilds are batch reads of closed daily shards:
+they have no watermarks, event-time windows over streams, state or triggers.
+A daily run over the newest shard is an ordinary batch call of the jobs in
+`touchline.plans` with that day's date bounds.
+"""
