@@ -1,8 +1,11 @@
 """Event-parameter lookup (a keyed read from the repeated key/value field).
 
-`get(filter(params, p -> p.key = k), 0)` stays inside whole-stage codegen and
-needs no explode. A missing key gives NULL. When a key repeats, the first
-entry wins (a warehouse scalar subquery would raise instead).
+`get(params, array_position(params.key, k) - 1)`: the key array is a struct
+field projection, the position search and the indexed read are all
+code-generated (a lambda-based `filter` would fall out of whole-stage codegen
+and cost several times more per row). No explode. A missing key gives NULL
+(position 0 -> index -1 -> NULL). When a key repeats, the first entry wins (a
+warehouse scalar subquery would raise instead).
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ _FIELDS = {"int": "int_value", "string": "string_value"}
 
 def event_param(key: str, kind: str = "int", params: str = "event_params") -> Column:
     field = _FIELDS[kind]
-    match = F.filter(F.col(params), lambda p: p["key"] == F.lit(key))
-    return F.get(match, 0)["value"][field]
+    pos = F.array_position(F.col(f"{params}.key"), F.lit(key))
+    return F.get(F.col(params), (pos - 1).cast("int"))["value"][field]
 
 
 def session_id() -> Column:

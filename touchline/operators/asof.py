@@ -78,10 +78,16 @@ def asof_backward(
         *[F.col(v).alias(f"__v_{v}") for v in values],
     ).withColumn(_B, bucket_of(F.col(key), bucket_width))
 
-    # level 3: inside a bucket
-    stacked = probes_b.withColumn(_TAG, F.lit(0)).unionByName(
-        build_b.withColumn(_TAG, F.lit(1)), allowMissingColumns=True
+    # Row-level data moves once: hash-partitioned on (group, bucket). The
+    # in-bucket window, the bucket summaries and the probe buckets all reuse
+    # that partitioning (no further exchange of row-level data).
+    stacked = (
+        probes_b.withColumn(_TAG, F.lit(0))
+        .unionByName(build_b.withColumn(_TAG, F.lit(1)), allowMissingColumns=True)
+        .repartition(*by, _B)
     )
+
+    # level 3: inside a bucket
     w3 = (
         Window.partitionBy(*by, _B)
         .orderBy(F.col(key))
@@ -97,26 +103,34 @@ def asof_backward(
     ).filter(F.col(_TAG) == 0)
 
     # level 1: one summary row per (group, bucket) of build rows
-    summary = build_b.groupBy(*by, _B).agg(
-        *[
-            F.max_by(F.col(f"__v_{v}"), F.when(F.col(f"__v_{v}").isNotNull(), F.col(key))).alias(
-                f"__v_{v}"
-            )
-            for v in values
-        ],
-        F.count(F.lit(1)).alias(_CNT),
+    summary = (
+        stacked.filter(F.col(_TAG) == 1)
+        .groupBy(*by, _B)
+        .agg(
+            *[
+                F.max_by(
+                    F.col(f"__v_{v}"), F.when(F.col(f"__v_{v}").isNotNull(), F.col(key))
+                ).alias(f"__v_{v}")
+                for v in values
+            ],
+            F.count(F.lit(1)).alias(_CNT),
+            F.lit(1).alias(_TAG),
+        )
     )
 
     # level 2: carry from all earlier buckets, for each bucket holding probes
-    probe_buckets = probes_b.select(*by, _B).where(F.col(_B).isNotNull()).distinct()
+    probe_buckets = (
+        stacked.filter((F.col(_TAG) == 0) & F.col(_B).isNotNull())
+        .groupBy(*by, _B)
+        .agg(F.lit(0).alias(_TAG))
+    )
     w2 = (
         Window.partitionBy(*by)
         .orderBy(F.col(_B))
         .rangeBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        probe_buckets.withColumn(_TAG, F.lit(0))
-        .unionByName(summary.withColumn(_TAG, F.lit(1)), allowMissingColumns=True)
+        probe_buckets.unionByName(summary, allowMissingColumns=True)
         .select(
             *by,
             _B,

@@ -58,7 +58,10 @@ def lookback_function_sql(
     bucket_width: int = HOUR_US,
 ) -> str:
     day = f"{MICROS_PER_DAY}L"
-    page_loc = "get(filter(event_params, p -> p.key = 'page_location'), 0).value.string_value"
+    page_loc = (
+        "get(event_params, CAST(array_position(event_params.key, 'page_location') - 1 AS INT))"
+        ".value.string_value"
+    )
     return f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(
     lookback_window_days INT, conversion_event STRING,

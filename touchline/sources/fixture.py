@@ -40,9 +40,20 @@ def _lookup(key: Column, mapping: dict, otherwise=None) -> Column:
 
 
 def export_from_test_events(events: DataFrame) -> DataFrame:
+    # parse the JSON and the timestamp once; Catalyst does not inline these
+    # non-trivial expressions into their many uses below
+    events = events.select(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "value",
+        F.get_json_object("props", "$.k").cast("int").alias("__k"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("__us"),
+    )
     ts = F.col("ts")
-    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    k = F.get_json_object("props", "$.k").cast("int")
+    us = F.col("__us")
+    k = F.col("__k")
     has_source = (F.col("user_id") % NO_SOURCE_USER_MOD) != 0
     is_purchase = F.col("event_type") == "purchase"
 
