@@ -208,7 +208,7 @@ def with_shares(tp: DataFrame, position_weights: tuple[float, float, float] = PO
         .when(F.col("is_last"), F.lit(last_w))
         .otherwise(F.lit(middle_w) / (n - 2))
     )
-    return tp.select(
+    return tp.drop("linear_share", "position_share", "decay_share").select(
         "*",
         (F.lit(1.0) / n).alias("linear_share"),
         position.alias("position_share"),

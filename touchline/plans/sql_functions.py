@@ -141,9 +141,11 @@ def register_sql_functions(
     events_view: str = DEFAULT_EVENTS_VIEW,
     sites: SiteLists = DEFAULT_SITES,
 ) -> None:
-    """Register both functions in the session; `events` (export-shaped) is
-    registered as `events_view` when given."""
+    """Register the channel function, and the lookback table function when an
+    events view exists; `events` (export-shaped) is registered as
+    `events_view` when given."""
     if events is not None:
         events.createOrReplaceTempView(events_view)
     spark.sql(channel_function_sql(sites))
-    spark.sql(lookback_function_sql(events_view))
+    if spark.catalog.tableExists(events_view):
+        spark.sql(lookback_function_sql(events_view))
