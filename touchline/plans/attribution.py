@@ -98,7 +98,7 @@ def attribution_sessions(events: DataFrame, era: str = "post") -> DataFrame:
         interaction_events(events)
         .groupBy(USER, session_id().alias(SID))
         .agg(
-            F.min_by(medium, F.struct(F.col("event_timestamp"), medium)).alias("medium"),
+            F.min(F.struct(F.col("event_timestamp"), medium.alias("m")))["m"].alias("medium"),
             F.min("event_timestamp").alias("session_start_us"),
         )
     )

@@ -86,15 +86,17 @@ def current_sessions(events: DataFrame, era: str = "post", with_campaign: bool =
             )
             .distinct()
         )
-    values = F.struct(
-        _medium().alias("medium"),
-        _source().alias("src"),
-        _gclid().alias("gclid"),
-        *extra,
-    )
-    # ordering = (time, values): equal times resolve the same way on every
-    # run, so a recomputed task after executor loss gives the same answer
-    first = F.min_by(values, F.struct(F.col("event_timestamp"), values)).alias("first")
+    # min over (time, values): the first event, and equal times resolve the
+    # same way on every run (a task recomputed after executor loss agrees)
+    first = F.min(
+        F.struct(
+            F.col("event_timestamp").alias("ts"),
+            _medium().alias("medium"),
+            _source().alias("src"),
+            _gclid().alias("gclid"),
+            *extra,
+        )
+    ).alias("first")
     rows = interaction_events(events).groupBy(USER, session_id().alias(SID)).agg(first)
     return rows.select(
         USER,
@@ -119,9 +121,9 @@ def session_history_last_nonnull(events: DataFrame, exclude_system: bool) -> Dat
         .filter(F.col("old_ga_session_id").isNotNull())
         .groupBy(USER, "old_ga_session_id")
         .agg(
-            F.max_by("m", F.when(F.col("m").isNotNull(), F.struct(ts, F.col("m")))).alias("m"),
-            F.max_by("s", F.when(F.col("s").isNotNull(), F.struct(ts, F.col("s")))).alias("old_src"),
-            F.min_by("g", F.struct(ts, F.col("g"))).alias("g"),
+            F.max(F.when(F.col("m").isNotNull(), F.struct(ts, F.col("m"))))["m"].alias("m"),
+            F.max(F.when(F.col("s").isNotNull(), F.struct(ts, F.col("s"))))["s"].alias("old_src"),
+            F.min(F.struct(ts, F.col("g")))["g"].alias("g"),
         )
         .select(
             USER,
@@ -138,8 +140,7 @@ def session_history_first(events: DataFrame) -> DataFrame:
 
     Output: user_pseudo_id, old_ga_session_id, old_medium.
     """
-    values = F.struct(_medium().alias("m"), _gclid().alias("g"))
-    first = F.min_by(values, F.struct(F.col("event_timestamp"), values))
+    first = F.min(F.struct(F.col("event_timestamp"), _medium().alias("m"), _gclid().alias("g")))
     return (
         interaction_events(events)
         .select(USER, session_id().alias("old_ga_session_id"), "event_timestamp",
