@@ -20,6 +20,12 @@ DEFAULT_CONF = {
     # inferred as an integer
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
+    # Batch jobs with many short stages: keep the driver's status store small,
+    # or every finished job/stage/task it retains slows later jobs down.
+    "spark.ui.retainedJobs": "50",
+    "spark.ui.retainedStages": "100",
+    "spark.ui.retainedTasks": "2000",
+    "spark.sql.ui.retainedExecutions": "20",
 }
 
 
