@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.mixing import entropy_mix
+from touchline.llm.packing import pack
+from touchline.llm.token_counts import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,15 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(_documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
@@ -35,6 +47,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op4_packing": op4_packing,
     "op8_mixing": op8_mixing,
 }
 
