@@ -12,6 +12,7 @@ from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
 from touchline.llm.token_counts import token_counts
+from touchline.llm.token_files import TokenFiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    files = TokenFiles(spark).write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return files.read_back(docs).withColumnRenamed("id", "doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(_documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
+    "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
 }
 
