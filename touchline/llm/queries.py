@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm.exact_dedup import exact_dedup
+from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
 from touchline.llm.token_counts import token_counts
@@ -52,12 +53,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
