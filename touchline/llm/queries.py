@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.fingerprints import fingerprint_report
+from touchline.llm.jaccard_join import jaccard_components
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
 from touchline.llm.token_counts import token_counts
@@ -41,6 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), k=4, threshold=(85, 100))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     files = TokenFiles(spark).write(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
