@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.llm import language
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.jaccard_join import jaccard_components
@@ -37,6 +38,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: declared language from `lang`, host from `source`."""
+    docs = _documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages: declared language from the markup, host, domain and suffix
+    from the address; text models from the labelled documents."""
+    rows = language.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return language.identify(
+        rows, language.train(_documents(spark, sf_dir)), id_col="page_id", declared_col="declared",
+        host_col="host", domain_col="domain", suffix_col="suffix",
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -65,11 +82,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
+    "language_id_pages": language_id_pages,
 }
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
