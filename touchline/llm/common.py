@@ -32,17 +32,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/touchline-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write `df` as a Parquet table in the shared folder and read it back;
+    also its path.
 
     Cuts lineage (a lost executor costs a re-read, not a recomputation), gives
-    the planner true sizes, and fixes values such as row numbers. The tables
-    live until the owner of the shared folder clears it.
+    the planner true sizes, and fixes values such as row numbers. The write's
+    shuffle files are removed when it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`staged_at` without the path. The tables live until the owner of the
+    shared folder clears it."""
+    return staged_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -14,6 +14,7 @@ from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.jaccard_join import jaccard_components
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
+from touchline.llm.suffix_dedup import suffix_dedup
 from touchline.llm.token_counts import token_counts
 from touchline.llm.token_files import TokenFiles
 
@@ -79,6 +80,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "language_id_pages": language_id_pages,
 }
 
