@@ -12,6 +12,7 @@ from touchline.llm import language
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.jaccard_join import jaccard_components
+from touchline.llm.line_dedup import line_dedup
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
 from touchline.llm.suffix_dedup import suffix_dedup
@@ -60,6 +61,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=4, threshold=(85, 100))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
