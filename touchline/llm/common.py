@@ -77,6 +77,31 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    """A document as a value: its id (nulls last) and 80 bits of hashes of its
+    text. Rows that repeat id and text have the same key; any others differ."""
+    text = text_or_empty(text_col)
+    return F.struct(
+        F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"),
+        F.pmod(F.xxhash64(text, F.lit("tag")), F.lit(1 << 16)).cast("int").alias("tag"),
+    )
+
+
+def join_by_key(docs: DataFrame, keys: DataFrame, key: str, how: str, id_col: str, text_col: str) -> DataFrame:
+    """`docs` joined with `keys` on the struct column `key` of document_key.
+    Anti and semi joins with few keys are broadcast by their size."""
+    side = keys.select(
+        F.col(f"{key}.doc").alias("__doc"), F.col(f"{key}.tag").alias("__tag"), F.col(f"{key}.id").alias("__id"),
+        *[F.col(c) for c in keys.columns if c != key],
+    )
+    own = document_key(id_col, text_col)
+    on = (
+        (own["doc"] == F.col("__doc")) & (own["tag"] == F.col("__tag")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    )
+    out = docs.join(side, on, how)
+    return out if how in ("left_anti", "left_semi") else out.drop("__doc", "__tag", "__id")
+
+
 # --- connected components -------------------------------------------------------
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component

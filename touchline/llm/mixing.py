@@ -13,16 +13,15 @@ staged (source, size) histogram for all sources at once; documents are not
 read again. A source that holds a third of all rows is a partial aggregate.
 
 Rates become whole copies, floor(rate) or one more: a document gets one more
-if u - frac(rate) is below a threshold of its source, u being a hash of its
-id. The threshold is where the source's words meet its target, found by
+if u - frac(rate) is below a threshold of its source, u being a hash of its id
+and text. The threshold is where the source's words meet its target, found by
 refining histograms of that margin (bins of bins), so that a source misses its
 target by about one document's size at most and reruns agree.
 
 Cases: null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 are taken as they are rated and add no words; rows
-that repeat each count (their ties are broken by a staged row number); a
-source without words has target 0; an empty table gives an empty result; other
-columns are ignored.
+that repeat each count and are taken alike; a source without words has target
+0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.common import staged, text_or_empty, word_count
@@ -162,6 +161,54 @@ def _thresholds(rated: DataFrame, sources: DataFrame, rounds: int = 4) -> DataFr
     )
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """`docs` and its rows' source, size and u (a number from 0 to 1 that
+    depends on id and text alone)."""
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    return docs.select(
+        "*", F.col(source_col).alias("__source"), word_count(text_or_empty(text_col)).alias("__size"),
+        (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias("__u"),
+    )
+
+
+def _rate(cap: int) -> Column:
+    grown = F.exp(F.least(F.col("lam") * F.col("__size") / F.col("mean"), F.lit(700.0)))
+    return F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), grown))
+
+
+def _copies(cap: int) -> Column:
+    rate = _rate(cap)
+    extra = (F.floor(rate) < cap) & (F.col("__u") - (rate - F.floor(rate)) < F.col("below"))
+    return (F.floor(rate) + F.when(extra, 1).otherwise(0)).cast("int")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """A join with one row a source."""
+    return rows.join(plan, F.col("__source").eqNullSafe(F.col("s")))
+
+
+def mixing_plan(sized: DataFrame, weights: Sequence[float], ratio: float, cap: int) -> DataFrame:
+    """One row a source: s, source_size, target, dual variable and rounding
+    threshold. `sized` holds __source, __size and __u of each document."""
+    rows = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"), "__u")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    sources = staged(source_targets(sources, weights, ratio, float(cap)), "mix-targets")
+    hist = staged(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
+    dual = _solve(hist, sources, float(cap))
+    known = sources.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("s"), "source_size", "target", "lam", "mean", "full"
+    )
+    known = staged(known, "mix-known")
+    rate = _rate(cap)
+    rated = _with_plan(sized, known).select(
+        F.col("s").alias("source"), F.col("__size").alias("size"), F.floor(rate).alias("copies"),
+        (F.col("__u") - (rate - F.floor(rate))).alias("margin"), (F.floor(rate) < cap).alias("may"),
+    )
+    rated = staged(rated, "mix-rated")
+    below = _thresholds(rated, sources.select("source", "target")).withColumnRenamed("source", "x")
+    return staged(known.join(below, F.col("s").eqNullSafe(F.col("x"))).drop("x"), "mix-plan")
+
+
 def entropy_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,41 +220,29 @@ def entropy_mix(
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, rate,
     copies (0 to cap), taken (= copies * size)."""
-    sized = staged(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-            word_count(text_or_empty(text_col)).alias("size"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "mix-sized",
-    )
-    sources = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")
-    )
-    sources = staged(source_targets(sources, weights, ratio, float(cap)), "mix-targets")
-    hist = staged(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
-    dual = _solve(hist, sources, float(cap))
-    known = sources.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), "source_size", "target", "lam", "mean", "full"
-    )
-    rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(
-        F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))))
-    )
-    # 40 bits of u come from the id alone; 13 more split ties of repeated ids
-    u = (
-        F.shiftrightunsigned(F.xxhash64("id"), 24) / F.lit(float(1 << 40))
-        + F.shiftrightunsigned(F.xxhash64("row"), 51) / F.lit(float(1 << 53))
-    )
-    rated = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).select(
-        "id", "source", "size", "source_size", "target", rate.alias("rate"),
-        F.floor(rate).alias("copies"), (u - (rate - F.floor(rate))).alias("margin"),
-        (F.floor(rate) < cap).alias("may"),
-    )
-    rated = staged(rated, "mix-rated")
-    below = _thresholds(rated, sources.select("source", "target"))
-    extra = F.when(F.col("may") & (F.col("margin") < F.col("below")), 1).otherwise(0)
-    copies = (F.col("copies") + extra).cast("int")
-    return rated.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate",
-        copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+    rows = _sized(docs, id_col, text_col, source_col).select(F.col(id_col).alias("__id"), "__source", "__size", "__u")
+    rows = staged(rows, "mix-sized")
+    out = _with_plan(rows, mixing_plan(rows, weights, ratio, cap))
+    return out.select(
+        F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__size").alias("size"),
+        "source_size", "target", _rate(cap).alias("rate"), _copies(cap).alias("copies"),
+        (_copies(cap) * F.col("__size")).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    ratio: float = 1.5,
+    cap: int = 2,
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. Texts are not
+    shuffled: the plan (one row a source) is joined to the scan."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan = mixing_plan(staged(sized.select("__source", "__size", "__u"), "mix-sized"), weights, ratio, cap)
+    times = F.sequence(F.lit(1), _copies(cap))
+    rows = _with_plan(sized, plan).where(_copies(cap) > 0)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
