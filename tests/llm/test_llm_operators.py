@@ -101,7 +101,7 @@ def test_chunk_encoder_equals_library():
 def test_language_edge_cases(spark, docs, rows, empty):
     model = language.train(docs)
     out = language.identify(docs, model, carry=["key"]).collect()
-    assert len(out) == len(rows) and all(r.key == "k" for r in out)
+    assert len(out) == len(rows) and all(r.key == "key" for r in out)
     for r in out:
         if r.doc_id in (4, 5, 6):  # null, empty, blank
             assert (r.id_lang, r.kept) == ("und", False)
@@ -269,7 +269,7 @@ def test_line_dedup(spark, docs, rows, empty):
     rows = [(i, t) for i, t in rows if t is None or len(t) < 100_000]
     got = line_dedup.line_dedup(docs.where("text IS NULL OR length(text) < 100000")).collect()
     assert Counter((r.doc_id, r.text, r.n_dropped) for r in got) == lines_without(rows)
-    assert all(r.key == "k" and r.n == 2 for r in got)
+    assert all(r.key == "key" and r.n == 2 for r in got)
     near = near_lines()
     got = line_dedup.line_dedup(spark.createDataFrame(near, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text, r.n_dropped) for r in got) == lines_without(near)
