@@ -1,9 +1,9 @@
 """Operator 7: token-id files with a minimal perfect hash index.
 
 Shards. The documents are range-partitioned and sorted by id; each task
-encodes its range and writes one shard: the raw ids (little-endian unsigned
-32-bit), then the directory (a null flag, the id and the number of ids of each
-record), then a footer. A shard is written under a temporary name and renamed,
+encodes its range and writes one shard: the raw ids (little-endian unsigned, 2
+bytes each, or 4 for larger vocabularies), then the directory (a null flag, the
+id and the number of ids of each record), then a footer. A shard is written under a temporary name and renamed,
 so a task that is run again leaves one whole file.
 
 Index. The keys (non-null ids) are dealt by hash into parts of some ten
@@ -43,7 +43,7 @@ from touchline.llm.common import mix64, new_path, staged
 from touchline.llm.tokens import ID_BYTES, crc32, encoder, slices
 
 MAGIC = b"TOKS0001"
-FOOTER = "<8sQQQ"  # magic, records, ids, start of the directory
+FOOTER = "<8sQQQQ"  # magic, bytes an id, records, ids, start of the directory
 DIRECTORY = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u4")])
 ENTRY = np.dtype([
     ("fp", "<u4"), ("shard", "<u4"), ("record", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("n", "<u4"),
@@ -65,10 +65,13 @@ def _publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
 # --- shards -----------------------------------------------------------------------
 def write_shards(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", width: int = 2,
 ) -> DataFrame:
-    """Writes the shards under `path`; returns the manifest, one row a shard:
-    shard, file, records, ids, base (ids of all shards before)."""
+    """Writes the shards under `path`, `width` bytes an id; returns the
+    manifest, one row a shard: shard, file, width, records, ids, base (ids of
+    all shards before)."""
+    if width not in (2, ID_BYTES):
+        raise ValueError("width must be 2 or 4")
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -101,32 +104,48 @@ def write_shards(
                 for i, text in enumerate(b.column(1).to_pylist()):
                     data = enc.encode(text) + tail
                     part["n"][i] = len(data) // ID_BYTES
-                    out.write(data)
+                    out.write(_narrow(data, width))
                 ids += int(part["n"].sum(dtype=np.int64))
                 directory.append(part)
             table = np.concatenate(directory) if directory else np.zeros(0, dtype=DIRECTORY)
             out.write(table.tobytes())
-            out.write(struct.pack(FOOTER, MAGIC, len(table), ids, ids * ID_BYTES))
+            out.write(struct.pack(FOOTER, MAGIC, width, len(table), ids, ids * width))
         if len(table):
             _publish(fs, temporary, posixpath.join(folder, name))
             yield pa.RecordBatch.from_pydict(
-                {"shard": [shard], "file": [f"{path}/{name}"], "records": [len(table)], "ids": [ids]},
-                schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]),
+                {"shard": [shard], "file": [f"{path}/{name}"], "width": [width], "records": [len(table)], "ids": [ids]},
+                schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("width", pa.int64()),
+                                  ("records", pa.int64()), ("ids", pa.int64())]),
             )
         else:
             fs.delete_file(temporary)
 
-    manifest = staged(rows.mapInArrow(write, "shard long, file string, records long, ids long"), "tok-manifest")
+    manifest = staged(rows.mapInArrow(write, "shard long, file string, width long, records long, ids long"), "tok-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.select("*", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
 
 
+def _narrow(data: bytes, width: int) -> bytes:
+    """32-bit ids with `width` bytes each."""
+    if width == ID_BYTES:
+        return data
+    ids = np.frombuffer(data, dtype="<u4")
+    if len(ids) and int(ids.max()) >> 16:
+        raise ValueError("an id needs more than 16 bits: write with width=4")
+    return ids.astype("<u2").tobytes()
+
+
+def _wide(data: bytes, width: int) -> bytes:
+    """The 32-bit form of stored ids."""
+    return data if width == ID_BYTES else np.frombuffer(data, dtype="<u2").astype("<u4").tobytes()
+
+
 def read_directory(file: str) -> np.ndarray:
     """The directory of one shard, without its ids."""
     fs, path = _fs(file)
     with fs.open_input_file(path) as f:
         size = f.size()
-        magic, records, _, start = struct.unpack(FOOTER, f.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
+        magic, _, records, _, start = struct.unpack(FOOTER, f.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError(f"{file} is no token shard")
         return np.frombuffer(f.read_at(records * DIRECTORY.itemsize, start), dtype=DIRECTORY)
@@ -315,9 +334,10 @@ def lookup(keys: DataFrame, path: str, parts: int, key_col: str = "id") -> DataF
     )
 
 
-def get(path: str, parts: int, key_hashes: tuple[int, int, int], manifest_files: dict[int, str]) -> bytes | None:
-    """The ids of one key, by (part, h, fp) as `_hashes` gives them: one index
-    entry and one read at an offset."""
+def get(path: str, key_hashes: tuple[int, int, int], files: dict[int, tuple[str, int]]) -> bytes | None:
+    """The ids of one key (32-bit form), by (part, h, fp) as `_hashes` gives
+    them: one index entry and one read at an offset. files: file and width by
+    shard."""
     part, h, fp = key_hashes
     pdf = pd.DataFrame({"h": [h], "fp": [fp]})
     ph, table = _load_part(path, part)
@@ -325,25 +345,26 @@ def get(path: str, parts: int, key_hashes: tuple[int, int, int], manifest_files:
     if slot < 0 or table["fp"][slot] != _fingerprint(pdf["fp"])[0]:
         return None
     e = table[slot]
-    fs, file = _fs(manifest_files[int(e["shard"])])
+    name, width = files[int(e["shard"])]
+    fs, file = _fs(name)
     with fs.open_input_file(file) as f:
-        return f.read_at(int(e["n"]) * ID_BYTES, int(e["offset"]) * ID_BYTES)
+        return _wide(f.read_at(int(e["n"]) * width, int(e["offset"]) * width), width)
 
 
-def _read_records(f, offset: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
-    """The ids at each (offset, n), ascending; records that follow each other
-    are read together, READ_AHEAD bytes at a time."""
+def _read_records(f, offset: np.ndarray, n: np.ndarray, width: int) -> Iterator[bytes]:
+    """The ids at each (offset, n), ascending, in 32-bit form; records that
+    follow each other are read together, READ_AHEAD bytes at a time."""
     at, data = 0, b""
-    for o, k in zip((offset * ID_BYTES).tolist(), (n * ID_BYTES).tolist()):
+    for o, k in zip((offset * width).tolist(), (n * width).tolist()):
         if o < at or o + k > at + len(data):
             at, data = o, f.read_at(max(k, READ_AHEAD), o)
-        yield data[o - at : o - at + k]
+        yield _wide(data[o - at : o - at + k], width)
 
 
 def read_located(located: DataFrame, manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) for rows (id, shard, record, records,
     offset, n), read from the shards; `records` adjacent records a row."""
-    files = manifest.select(F.col("shard").alias("s"), "file", "base")
+    files = manifest.select(F.col("shard").alias("s"), "file", "width", "base")
     rows = located.join(files, F.col("shard") == F.col("s")).drop("s")
     rows = rows.repartition("shard").sortWithinPartitions("shard", "offset")
 
@@ -371,7 +392,7 @@ def read_located(located: DataFrame, manifest: DataFrame) -> DataFrame:
                     offset = group["offset"].to_numpy() + whole - first
                 else:
                     n, offset = group["n"].to_numpy(), group["offset"].to_numpy()
-                crc = [crc32(d) for d in _read_records(f, offset, n)]
+                crc = [crc32(d) for d in _read_records(f, offset, n, int(group["width"].iloc[0]))]
                 out.append(pd.DataFrame({
                     "id": group["id"].to_numpy(), "start": group["base"].to_numpy() + offset,
                     "n_tokens": n, "ids_crc32": np.array(crc, dtype=np.int64),
@@ -383,7 +404,7 @@ def read_located(located: DataFrame, manifest: DataFrame) -> DataFrame:
             f.close()
 
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    cols = ["id", "shard", "record", "records", "offset", "n", "file", "base"]
+    cols = ["id", "shard", "record", "records", "offset", "n", "file", "width", "base"]
     return rows.select(cols).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
