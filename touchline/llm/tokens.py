@@ -5,8 +5,8 @@ of the two vocabularies used here reaches past the start of a run of white
 space (byte-level: one space may lead a pre-token; word vocabulary: white
 space is dropped). So a text is cut at white space, each chunk is encoded by
 the library, and the ids are joined; a worker keeps the chunks it has seen
-lately in a bounded store. A chunk of plain letters with or without plain
-punctuation behind them is given to the library's BPE model directly; any
+lately in a bounded store. A chunk of plain letters, with or without commas and
+full stops behind them, is given to the library's BPE model directly; any
 other chunk goes through its whole pipeline. Texts with white space other than
 space, tab, LF and CR, or with an added token's string, are encoded whole.
 """
@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 
 # One id as it is stored and summed: little-endian unsigned 32 bits.
 ID_BYTES = 4
-_CHUNK_STORE = 150_000  # chunks in each of the two generations of a worker's store
+_CHUNK_STORE = 250_000  # chunks in each of the two generations of a worker's store
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(r"\S+")
-# Letters that are composed, then punctuation that starts no contraction.
-_PLAIN = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+# White space that the byte-level split by lines and spaces can't take: runs,
+# tabs, returns, and any at a text's ends.
+_UNEVEN = re.compile(r"\s\s|[\t\r]|^\s|\s\Z")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -71,28 +70,56 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as fh:
             spec = json.load(fh)
         self.lower = spec["pre_tokenizer"]["type"] != "ByteLevel"
-        self.chunks = (_WORD_LEVEL if self.lower else _BYTE_LEVEL).findall
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.alphabet = _byte_alphabet()
-        self.store = _Chunks(self._learn)
+        self.as_bytes = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.tails: dict[str, bytes] = {"": b""}
+        # chunks at the start of a line, and (byte-level) chunks led by a space
+        self.store = _Chunks(lambda chunk: self._learn(chunk, ""))
+        self.after_space = _Chunks(lambda chunk: self._learn(chunk, " "))
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain is None:
-            return self._whole(chunk)
-        ids: list[int] = []
-        for piece in plain.groups():
-            if piece:
-                piece = piece.lower() if self.lower else piece
-                if piece.isascii() and piece[0] != " ":
-                    mapped = piece
-                else:
-                    mapped = "".join(map(self.alphabet.__getitem__, piece.encode()))
-                ids += [t.id for t in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _learn(self, chunk: str, lead: str) -> bytes:
+        core = chunk.rstrip(",.")
+        if not core.isalpha() or not (core.isascii() or max(core) <= "\xff"):
+            return self._whole(lead + chunk)
+        if len(core) < len(chunk):
+            tail = chunk[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            return (self.after_space if lead else self.store)[core] + self.tails[tail]
+        piece = core.lower() if self.lower else core
+        if not piece.isascii():
+            piece = "".join(map(self.alphabet.__getitem__, piece.encode()))
+        if lead:
+            piece = self.alphabet[0x20] + piece
+        table = self.as_bytes
+        return b"".join([table[t.id] for t in self.model.tokenize(piece)])
+
+    def _even(self, text: str) -> bytes:
+        """A byte-level text whose white space is single spaces and single
+        newlines between other characters."""
+        first, rest = self.store.__getitem__, self.after_space.__getitem__
+        newline, out = first("\n"), []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(first(words[0]))
+            out.extend(map(rest, words[1:]))
+            out.append(newline)
+        out.pop()
+        return b"".join(out)
+
+    def _piece(self, text: str) -> bytes:
+        if self.lower:
+            return b"".join(map(self.store.__getitem__, text.split()))
+        if not _UNEVEN.search(text):
+            return self._even(text)
+        return b"".join([
+            self.after_space[c[1:]] if c[0] == " " and len(c) > 1 and c[1] != " " else self.store[c]
+            for c in _BYTE_LEVEL.findall(text)
+        ])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, 4 bytes each."""
@@ -112,8 +139,7 @@ class ChunkEncoder:
                 while 0 < end and (end + 1 >= n or text[end + 1].isspace() or text[end - 1].isspace()):
                     end = text.find(" ", end + 1)
                 end = n if end < 0 else end
-            chunks = self.chunks(text if end - at == n else text[at:end])
-            out.append(b"".join(map(self.store.__getitem__, chunks)))
+            out.append(self._piece(text if end - at == n else text[at:end]))
             at = end
         return b"".join(out)
 
