@@ -3,12 +3,13 @@ from touchline.functions.timefn import (
     micros_to_timestamp,
     whole_minutes_between,
     shift_date_key,
-    shift_date_key_col,
 )
 from touchline.functions.channels import (
     SiteLists,
     default_channel_grouping,
     channel_case_sql,
+    read_site_lists,
+    site_lists,
 )
 
 __all__ = [
@@ -18,8 +19,9 @@ __all__ = [
     "micros_to_timestamp",
     "whole_minutes_between",
     "shift_date_key",
-    "shift_date_key_col",
     "SiteLists",
     "default_channel_grouping",
     "channel_case_sql",
+    "read_site_lists",
+    "site_lists",
 ]

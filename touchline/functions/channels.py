@@ -2,8 +2,11 @@
 
 One rule table, rendered two ways: as a native Column expression (CASE WHEN
 chain, codegen'd, site membership as hash-set `IN` lookups, no join) and as
-SQL text (the session SQL function, and the DuckDB test oracle). The first
-matching rule wins; inputs are lowercased first; user-added sites are not.
+SQL text (the session SQL function). The first matching rule wins; inputs are
+lowercased first; user-added sites are not.
+
+The social list (about 600 entries) is not stated here and has no default: the
+caller passes it, or reads the vendor's list with `read_site_lists`.
 
 Deviation on purpose: a NULL medium, source or campaign yields NULL instead of
 failing the whole job.
@@ -11,11 +14,10 @@ failing the whole job.
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass, replace
 from typing import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # --- Fixed values (must equal the original definitions) ----------------------
 # Site categories of the default channel definitions (vendor list pulled on
@@ -70,8 +72,6 @@ SEARCH_SITES = (
     'yahoo.com', 'yandex', 'yandex.by', 'yandex.com', 'yandex.com.tr', 'yandex.fr', 'yandex.kz',
     'yandex.ru', 'yandex.ua', 'yandex.uz', 'zen.yandex.ru',
 )
-# The social category of the same vendor list has about 600 entries. It is not
-# stated here: pass it in (SiteLists(social=...) or SiteLists.from_file(...)).
 
 # Rule patterns, in JavaScript regex syntax as defined.
 PAID_MEDIUM = r"^(.*cp.*|ppc|retargeting|paid.*)$"
@@ -87,8 +87,6 @@ SOCIAL_MEDIA = ("social", "social-network", "social-media", "sm", "social networ
 REFERRAL_MEDIA = ("referral", "app", "link")
 EMAIL_TERMS = ("email", "e-mail", "e_mail", "e mail")
 NOT_MATCHED_PREFIX = "N/A for (source/medium/campaign) = ("
-# ------------------------------------------------------------------------------
-
 CATEGORIES = ("shopping", "search", "social", "video")
 
 # The rule chain, first match wins. Conditions: ("site", category),
@@ -118,6 +116,21 @@ RULES = (
         ("or", ("or", ("ends", "medium", "push"), ("re", "medium", PUSH_MEDIUM)), ("eq", "source", "firebase")),
     ),
 )
+# ------------------------------------------------------------------------------
+
+
+def rules(fix_push_rule: bool = False) -> tuple:
+    """The rule chain. As published, the push rule's pattern holds literal
+    quotes; fix_push_rule takes them out (the evident intent)."""
+    if not fix_push_rule:
+        return RULES
+
+    def fixed(cond):
+        if cond == ("re", "medium", PUSH_MEDIUM):
+            return ("re", "medium", PUSH_MEDIUM.replace('"', ""))
+        return tuple(fixed(c) if isinstance(c, tuple) else c for c in cond) if cond[0] in ("and", "or") else cond
+
+    return tuple((label, fixed(cond)) for label, cond in RULES)
 
 
 def java_regex(js_pattern: str) -> str:
@@ -128,41 +141,56 @@ def java_regex(js_pattern: str) -> str:
 
 @dataclass(frozen=True)
 class SiteLists:
-    """Site lists per category. Defaults: the published shopping, search and
-    video lists; social is empty unless supplied."""
+    """Site lists per category. Shopping, search and video default to the
+    published lists; `social` must be given (an empty tuple to have none)."""
 
     shopping: tuple[str, ...] = SHOPPING_SITES
     search: tuple[str, ...] = SEARCH_SITES
-    social: tuple[str, ...] = ()
+    social: tuple[str, ...] | None = None
     video: tuple[str, ...] = VIDEO_SITES
 
+    def __post_init__(self) -> None:
+        if self.social is None:
+            raise ValueError(
+                "the social site list is required: SiteLists(social=...) or read_site_lists(spark, path)"
+            )
+
     def extended(self, shopping=None, search=None, social=None, video=None) -> "SiteLists":
         """Append user sites (kept as given, like the original; NULL = none)."""
         add = {"shopping": shopping, "search": search, "social": social, "video": video}
         return replace(self, **{k: tuple(getattr(self, k)) + tuple(v or ()) for k, v in add.items()})
 
-    @classmethod
-    def from_file(cls, path: str, base: "SiteLists | None" = None) -> "SiteLists":
-        """Read `source,category` rows (a header row is optional; category is
-        one of shopping/search/social/video, case-insensitive, an optional
-        `SOURCE_CATEGORY_` prefix is ignored) and append them to `base`
-        (default: an empty set of lists)."""
-        base = base or cls(shopping=(), search=(), social=(), video=())
-        extra: dict[str, list[str]] = {c: [] for c in CATEGORIES}
-        with open(path, newline="", encoding="utf-8") as fh:
-            for row in csv.reader(fh):
-                if len(row) < 2:
-                    continue
-                cat = row[1].strip().lower().removeprefix("source_category_")
-                if cat in extra:
-                    extra[cat].append(row[0].strip())
-        return base.extended(**extra)
-
     def get(self, category: str) -> tuple[str, ...]:
         return tuple(getattr(self, category))
 
 
-DEFAULT_SITES = SiteLists()
+MAX_SITES = 100_000  # a list beyond this belongs in a join, not in an expression
+
+
+def site_lists(rows: DataFrame, base: SiteLists | None = None) -> SiteLists:
+    """Lists from (source, category) rows, appended to `base` (default: empty
+    lists). A category is one of shopping/search/social/video, in any case, with
+    or without a `SOURCE_CATEGORY_` prefix. A row without a source or with
+    another category is an error that names it."""
+    first, second = rows.columns[:2]
+    found = rows.select(F.col(first).alias("s"), F.col(second).alias("c")).limit(MAX_SITES + 1).collect()
+    if len(found) > MAX_SITES:
+        raise ValueError(f"more than {MAX_SITES} sites")
+    extra: dict[str, list[str]] = {c: [] for c in CATEGORIES}
+    for source, category in found:
+        name = (category or "").strip().lower().removeprefix("source_category_")
+        if not source or name not in extra:
+            raise ValueError(f"not a (source, category) row: {(source, category)!r}")
+        extra[name].append(source.strip())
+    base = base or SiteLists(shopping=(), search=(), social=(), video=())
+    return base.extended(**extra)
+
+
+def read_site_lists(spark: SparkSession, path: str, base: SiteLists | None = None, header: bool = True) -> SiteLists:
+    """`site_lists` of a CSV file of source,category rows in any store that
+    Spark reads."""
+    rows = spark.read.schema("source string, category string").option("mode", "PERMISSIVE").csv(path, header=header)
+    return site_lists(rows, base)
 
 
 # --- Column rendering ---------------------------------------------------------
@@ -196,22 +224,38 @@ def default_channel_grouping(
     medium: Column | str,
     source: Column | str,
     campaign: Column | str,
-    sites: SiteLists = DEFAULT_SITES,
+    sites: SiteLists,
+    shopping_sites_add: Column | None = None,
+    search_sites_add: Column | None = None,
+    social_sites_add: Column | None = None,
+    video_sites_add: Column | None = None,
+    fix_push_rule: bool = False,
 ) -> Column:
     """Channel name for each row. Site membership compiles to hash-set IN
-    lookups inside the generated code (the lists are small and fixed)."""
+    lookups inside the generated code (the lists are small and fixed). The
+    `*_sites_add` arguments are array columns of user sites per row (NULL =
+    none). fix_push_rule drops the literal quotes of the push rule's pattern."""
     f = {
         "medium": F.lower(_col(medium)),
         "source": F.lower(_col(source)),
         "campaign": F.lower(_col(campaign)),
     }
+    added = {
+        "shopping": shopping_sites_add,
+        "search": search_sites_add,
+        "social": social_sites_add,
+        "video": video_sites_add,
+    }
 
     def site(cat: str) -> Column:
         items = sites.get(cat)
-        return f["source"].isin(*items) if items else F.lit(False)
+        known = f["source"].isin(*items) if items else F.lit(False)
+        if added[cat] is not None:
+            known = known | F.coalesce(F.array_contains(added[cat], f["source"]), F.lit(False))
+        return known
 
     out = F.when(f["medium"].isNull() | f["source"].isNull() | f["campaign"].isNull(), F.lit(None))
-    for label, cond in RULES:
+    for label, cond in rules(fix_push_rule):
         out = out.when(_render_column(cond, f, site), F.lit(label))
     fallback = F.concat(
         F.lit(NOT_MATCHED_PREFIX), f["source"], F.lit("/"), f["medium"], F.lit("/"), f["campaign"], F.lit(")")
@@ -220,34 +264,29 @@ def default_channel_grouping(
 
 
 # --- SQL rendering --------------------------------------------------------------
-def _quote(s: str, dialect: str) -> str:
-    if dialect == "spark":
-        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return "'" + s.replace("'", "''") + "'"
+def _quote(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _render_sql(cond, fields: dict[str, str], site: Callable[[str], str], dialect: str) -> str:
+def _render_sql(cond, fields: dict[str, str], site: Callable[[str], str]) -> str:
     op = cond[0]
     if op == "site":
         return site(cond[1])
     if op in ("and", "or"):
-        a = _render_sql(cond[1], fields, site, dialect)
-        b = _render_sql(cond[2], fields, site, dialect)
+        a = _render_sql(cond[1], fields, site)
+        b = _render_sql(cond[2], fields, site)
         return f"({a} {op.upper()} {b})"
     x, v = fields[cond[1]], cond[2]
-    q = lambda s: _quote(s, dialect)
     if op == "eq":
-        return f"({x} = {q(v)})"
+        return f"({x} = {_quote(v)})"
     if op == "in":
-        return f"({x} IN ({', '.join(q(i) for i in v)}))"
+        return f"({x} IN ({', '.join(_quote(i) for i in v)}))"
     if op == "re":
-        if dialect == "spark":
-            return f"({x} RLIKE {q(java_regex(v))})"
-        return f"regexp_matches({x}, {q(v)})"
+        return f"({x} RLIKE {_quote(java_regex(v))})"
     if op == "contains":
-        return f"contains({x}, {q(v)})"
+        return f"contains({x}, {_quote(v)})"
     if op == "ends":
-        return f"endswith({x}, {q(v)})" if dialect == "spark" else f"suffix({x}, {q(v)})"
+        return f"endswith({x}, {_quote(v)})"
     raise ValueError(op)
 
 
@@ -255,14 +294,14 @@ def channel_case_sql(
     medium: str,
     source: str,
     campaign: str,
-    sites: SiteLists = DEFAULT_SITES,
-    dialect: str = "spark",
+    sites: SiteLists,
     added: dict[str, str] | None = None,
+    fix_push_rule: bool = False,
 ) -> str:
-    """The rule chain as a SQL CASE expression over three SQL expressions.
+    """The rule chain as a Spark SQL CASE expression over three SQL expressions.
 
     `added` maps a category to a SQL array expression of extra sites (the
-    arguments of the SQL function); dialect is "spark" or "duckdb".
+    arguments of the SQL function).
     """
     f = {k: f"lower({v})" for k, v in (("medium", medium), ("source", source), ("campaign", campaign))}
     added = added or {}
@@ -271,17 +310,13 @@ def channel_case_sql(
         items = sites.get(cat)
         parts = []
         if items:
-            parts.append(f"{f['source']} IN ({', '.join(_quote(i, dialect) for i in items)})")
+            parts.append(f"{f['source']} IN ({', '.join(_quote(i) for i in items)})")
         if cat in added:
-            fn = "array_contains" if dialect == "spark" else "list_contains"
-            parts.append(f"coalesce({fn}({added[cat]}, {f['source']}), false)")
+            parts.append(f"coalesce(array_contains({added[cat]}, {f['source']}), false)")
         return "(" + " OR ".join(parts) + ")" if parts else "false"
 
     lines = [f"WHEN {f['medium']} IS NULL OR {f['source']} IS NULL OR {f['campaign']} IS NULL THEN NULL"]
-    for label, cond in RULES:
-        lines.append(f"WHEN {_render_sql(cond, f, site, dialect)} THEN {_quote(label, dialect)}")
-    fallback = (
-        f"concat({_quote(NOT_MATCHED_PREFIX, dialect)}, {f['source']}, '/', {f['medium']}, '/', "
-        f"{f['campaign']}, ')')"
-    )
+    for label, cond in rules(fix_push_rule):
+        lines.append(f"WHEN {_render_sql(cond, f, site)} THEN {_quote(label)}")
+    fallback = f"concat({_quote(NOT_MATCHED_PREFIX)}, {f['source']}, '/', {f['medium']}, '/', {f['campaign']}, ')')"
     return "CASE " + " ".join(lines) + f" ELSE {fallback} END"

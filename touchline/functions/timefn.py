@@ -22,13 +22,11 @@ def whole_minutes_between(later_us: Column, earlier_us: Column) -> Column:
     return ((diff - diff % F.lit(MICROS_PER_MINUTE)) / F.lit(MICROS_PER_MINUTE)).cast("long")
 
 
-def shift_date_key(date_key: str, days: int) -> str:
+def shift_date_key(date_key: str | None, days: int) -> str | None:
     """yyyyMMdd shifted by whole days, computed once on the driver so the
-    bound reaches the scan as a literal (partition pruning)."""
+    bound reaches the scan as a literal (partition pruning). None (no bound)
+    stays None."""
+    if date_key is None:
+        return None
     d = _dt.datetime.strptime(date_key, "%Y%m%d").date() + _dt.timedelta(days=days)
     return d.strftime("%Y%m%d")
-
-
-def shift_date_key_col(date_key: Column, days: int) -> Column:
-    """Column form of `shift_date_key` (constant-folded when given a literal)."""
-    return F.date_format(F.date_add(F.to_date(date_key, "yyyyMMdd"), days), "yyyyMMdd")

@@ -10,20 +10,27 @@ is linear but sends a whole group to one task, so a single hot group (a bot
 user holding a third of all rows) becomes one straggler. Here the key axis is
 cut into fixed-width buckets and the scan runs in two levels:
 
-  level 1  per (group, bucket) summary of the build rows: last non-NULL value
-           and row count. A plain aggregate with map-side partial aggregation.
-  level 2  carry-in for each bucket that holds probes: the summaries of all
+  level 1  inside each (group, bucket): window over the bucket's build and
+           probe rows, ordered by key, RANGE frame up to the current key
+           (peers included, so a build row at the probe's own key counts).
+  level 2  per (group, bucket) one summary: last non-NULL values and number of
+           its build rows, and whether it holds probes.
+  level 3  carry-in for each bucket that holds probes: the summaries of all
            earlier buckets of the group, via a window over one row per
            (group, bucket). Rows per window partition <= buckets per group,
            which is bounded by the time span over the bucket width, not by the
            data volume.
-  level 3  inside each (group, bucket): window over the bucket's build and
-           probe rows, ordered by key, RANGE frame up to the current key
-           (peers included, so a build row at the probe's own key counts).
 
-Result = level-3 value if any, else the carry. Only level 3 moves row-level
-data, once, hash-partitioned on (group, bucket); levels 1-2 move summaries.
-The carry join is planned by AQE from runtime sizes (broadcast when small).
+Result = level-1 value if any, else the carry. Both inputs are read once: the
+stacked rows are hash-partitioned on (group, bucket) in one exchange, which
+level 1 and level 2 both read. For that, neither filters the stacked rows and
+both use all their columns; otherwise the optimizer would prune and filter each
+use below the exchange, and the inputs would be scanned and shuffled twice. The
+carry join is planned by AQE from runtime sizes (broadcast when small).
+
+A NULL group key matches nothing (SQL equality), so rows that have one are
+left out on both sides: they are neither probes nor matches, and all
+unidentified rows never meet as one hot group.
 
 Precondition: at most one build row per (group, key). Callers aggregate to
 that grain first, which also shrinks what is shuffled.
@@ -57,7 +64,8 @@ def asof_backward(
     count_col: str = "asof_matches",
     build_key: str | None = None,
 ) -> DataFrame:
-    """Append to every probe row the as-of values and a match count.
+    """Append to every probe row (but those with a NULL group key) the as-of
+    values and a match count.
 
     probes:      rows with columns `by` + [key] (+ any payload); NULL keys get
                  no match.
@@ -70,6 +78,8 @@ def asof_backward(
     out = {v: (out or {}).get(v, v) for v in values}
     bkey = build_key or key
     payload = [c for c in probes.columns if c not in by]
+    for c in by:
+        probes, build = probes.filter(F.col(c).isNotNull()), build.filter(F.col(c).isNotNull())
 
     probes_b = probes.withColumn(_B, bucket_of(F.col(key), bucket_width))
     build_b = build.select(
@@ -77,18 +87,14 @@ def asof_backward(
         F.col(bkey).alias(key),
         *[F.col(v).alias(f"__v_{v}") for v in values],
     ).withColumn(_B, bucket_of(F.col(key), bucket_width))
-
-    # Row-level data moves once: hash-partitioned on (group, bucket). The
-    # in-bucket window, the bucket summaries and the probe buckets all reuse
-    # that partitioning (no further exchange of row-level data).
     stacked = (
         probes_b.withColumn(_TAG, F.lit(0))
         .unionByName(build_b.withColumn(_TAG, F.lit(1)), allowMissingColumns=True)
         .repartition(*by, _B)
     )
 
-    # level 3: inside a bucket
-    w3 = (
+    # level 1: inside a bucket
+    w1 = (
         Window.partitionBy(*by, _B)
         .orderBy(F.col(key))
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,49 +104,39 @@ def asof_backward(
         _B,
         *payload,
         _TAG,
-        *[F.last(f"__v_{v}", ignorenulls=True).over(w3).alias(f"__in_{v}") for v in values],
-        F.sum(_TAG).over(w3).alias("__in_cnt"),
+        *[F.last(f"__v_{v}", ignorenulls=True).over(w1).alias(f"__in_{v}") for v in values],
+        F.sum(_TAG).over(w1).alias("__in_cnt"),
     ).filter(F.col(_TAG) == 0)
 
-    # level 1: one summary row per (group, bucket) of build rows
-    summary = (
-        stacked.filter(F.col(_TAG) == 1)
-        .groupBy(*by, _B)
-        .agg(
-            *[
-                F.max_by(
-                    F.col(f"__v_{v}"), F.when(F.col(f"__v_{v}").isNotNull(), F.col(key))
-                ).alias(f"__v_{v}")
-                for v in values
-            ],
-            F.count(F.lit(1)).alias(_CNT),
-            F.lit(1).alias(_TAG),
-        )
+    # level 2: one summary row per (group, bucket). The mark of a bucket with
+    # probes is a hash of their payload, so that this use needs the same
+    # columns as level 1 and the exchange is shared
+    is_build = F.col(_TAG) == 1
+    mark = F.max(F.when(~is_build, F.xxhash64(*payload))).alias("__probes")
+    summary = stacked.groupBy(*by, _B).agg(
+        *[
+            F.max_by(
+                F.col(f"__v_{v}"), F.when(is_build & F.col(f"__v_{v}").isNotNull(), F.col(key))
+            ).alias(f"__v_{v}")
+            for v in values
+        ],
+        F.sum(_TAG).alias(_CNT),
+        mark,
     )
 
-    # level 2: carry from all earlier buckets, for each bucket holding probes
-    probe_buckets = (
-        stacked.filter((F.col(_TAG) == 0) & F.col(_B).isNotNull())
-        .groupBy(*by, _B)
-        .agg(F.lit(0).alias(_TAG))
-    )
-    w2 = (
+    # level 3: carry from all earlier buckets, for each bucket holding probes
+    w3 = (
         Window.partitionBy(*by)
         .orderBy(F.col(_B))
         .rangeBetween(Window.unboundedPreceding, -1)
     )
-    carry = (
-        probe_buckets.unionByName(summary, allowMissingColumns=True)
-        .select(
-            *by,
-            _B,
-            _TAG,
-            *[F.last(f"__v_{v}", ignorenulls=True).over(w2).alias(f"__c_{v}") for v in values],
-            F.sum(_CNT).over(w2).alias("__c_cnt"),
-        )
-        .filter(F.col(_TAG) == 0)
-        .drop(_TAG)
-    )
+    carry = summary.select(
+        *by,
+        _B,
+        "__probes",
+        *[F.last(f"__v_{v}", ignorenulls=True).over(w3).alias(f"__c_{v}") for v in values],
+        F.sum(_CNT).over(w3).alias("__c_cnt"),
+    ).filter(F.col("__probes").isNotNull() & F.col(_B).isNotNull()).drop("__probes")
 
     joined = inner.join(carry, on=[*by, _B], how="left")
     return joined.select(

@@ -19,16 +19,19 @@ Semantics kept from the original analysis:
     some pool's last touch (the original inner-joins the five tables), and
     never a NULL medium.
 
-Scale notes: per-pool statistics are aggregates joined back on the id (null
-safe), not windows, so a pool holding a third of all touchpoints (NULL ids)
-is merged from partial aggregates instead of landing in one task. The
-touchpoint range join is bucketed by day so a heavy user is split by day and
-compares each conversion only with interactions of the days its window spans.
+Scale notes: the models reduce touchpoints to one row per (transaction id,
+medium) first (map-side partial aggregation); pool totals, first and last touch
+come from a window over those few rows of each id. Touchpoints are read once,
+and a pool that holds a third of them is a partial aggregate, never one task.
+The row-level `touchpoints` relation joins the pool statistics back on the id;
+there the NULL pool is spread over salted copies of its one row, and AQE splits
+other large ids. The range join of conversions and interactions is bucketed by
+the window's length: a conversion meets two buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions.params import session_id
 from touchline.functions.timefn import whole_minutes_between
@@ -44,8 +47,10 @@ from touchline.plans.sessions import (
 from touchline.schema import MICROS_PER_DAY
 from touchline.sources.export import shard_between
 
-HALF_LIFE_MINUTES = 7 * 24 * 60
+HALF_LIFE_DAYS = 7.0
+MINUTES_PER_DAY = 24 * 60
 POSITION_WEIGHTS = (0.4, 0.2, 0.4)
+NULL_POOL_SALTS = 64
 
 MODEL_COLUMNS = (
     "medium",
@@ -106,36 +111,34 @@ def attribution_sessions(events: DataFrame, era: str = "post") -> DataFrame:
 
 def interactions(current: DataFrame, history: DataFrame) -> DataFrame:
     """Sessions with NULL medium filled from the latest earlier session
-    (first-value history flavour); sessions without history vanish."""
-    return last_non_direct(current, history, fill=("medium",))
+    (first-value history flavour); sessions without history vanish. The medium
+    before filling stays as `raw_medium`: (user, session, raw medium) is the
+    grain, and two rows of a session can be equal after filling."""
+    return last_non_direct(current.withColumn("raw_medium", F.col("medium")), history, fill=("medium",))
 
 
-def _order_key(prefix: str = "") -> Column:
+def _order_key(rows: DataFrame) -> Column:
     # interaction time first (the original order), then fields that make the
-    # order total so first/last are deterministic under ties
+    # order total so first/last are single rows and deterministic under ties;
+    # revenue follows from the conversion and rides along
+    raw = "raw_medium" if "raw_medium" in rows.columns else "medium"
     return F.struct(
-        F.col(f"{prefix}interaction_us"),
-        F.col(f"{prefix}{USER}"),
-        F.col(f"{prefix}{SID}"),
-        F.col(f"{prefix}medium"),
-        F.col(f"{prefix}conversion_session_id"),
-        F.col(f"{prefix}conversion_us"),
+        "interaction_us", USER, SID, "medium", F.col(raw).alias("raw"), "conversion_session_id", "conversion_us", "revenue"
     )
 
 
-def touchpoints(
+def touch_pairs(
     conv: DataFrame,
     inter: DataFrame,
     window_days: int = 30,
+    half_life_days: float = HALF_LIFE_DAYS,
 ) -> DataFrame:
     """One row per (conversion, interaction of the same user in
-    (conversion - window_days, conversion]), with per-pool statistics:
-
-    user_pseudo_id, ga_session_id, medium, interaction_us, conversion_session_id,
-    conversion_us, revenue, transaction_id, total_interactions, is_first,
-    is_last, decay_weight, decay_total.
-    """
+    (conversion - window_days, conversion]): user_pseudo_id, ga_session_id,
+    medium, raw_medium, interaction_us, conversion_session_id, conversion_us,
+    revenue, transaction_id, decay_weight."""
     span = window_days * MICROS_PER_DAY
+    width = max(span, MICROS_PER_DAY)
     c = conv.select(
         F.col(USER),
         F.col(SID).alias("conversion_session_id"),
@@ -144,43 +147,81 @@ def touchpoints(
         "transaction_id",
         F.explode(
             F.sequence(
-                bucket_of(F.col("conversion_us") - F.lit(span), MICROS_PER_DAY),
-                bucket_of(F.col("conversion_us"), MICROS_PER_DAY),
+                bucket_of(F.col("conversion_us") - F.lit(span), width),
+                bucket_of(F.col("conversion_us"), width),
             )
-        ).alias("__day"),
+        ).alias("__bucket"),
     )
+    raw = "raw_medium" if "raw_medium" in inter.columns else "medium"
     i = inter.select(
         USER,
         SID,
         "medium",
+        F.col(raw).alias("raw_medium"),
         F.col("session_start_us").alias("interaction_us"),
-        bucket_of(F.col("session_start_us"), MICROS_PER_DAY).alias("__day"),
+        bucket_of(F.col("session_start_us"), width).alias("__bucket"),
     )
-    pairs = (
-        c.join(i, on=[USER, "__day"], how="inner")
+    return (
+        c.join(i, on=[USER, "__bucket"], how="inner")
         .filter(
             (F.col("interaction_us") <= F.col("conversion_us"))
             & (F.col("interaction_us") > F.col("conversion_us") - F.lit(span))
         )
-        .drop("__day")
+        .drop("__bucket")
         .withColumn(
             "decay_weight",
             F.pow(
                 F.lit(0.5),
                 whole_minutes_between(F.col("conversion_us"), F.col("interaction_us"))
-                / F.lit(float(HALF_LIFE_MINUTES)),
+                / F.lit(half_life_days * MINUTES_PER_DAY),
             ),
         )
     )
+
+
+def with_pools(pairs: DataFrame) -> DataFrame:
+    """Adds the statistics of each row's pool (rows of one transaction id):
+    total_interactions, is_first, is_last, decay_total."""
+    key = _order_key(pairs)
     pools = pairs.groupBy(F.col("transaction_id").alias("__tx")).agg(
         F.count(F.lit(1)).alias("total_interactions"),
-        F.min(_order_key()).alias("__first"),
-        F.max(_order_key()).alias("__last"),
+        F.min(key).alias("__first"),
+        F.max(key).alias("__last"),
         F.sum("decay_weight").alias("decay_total"),
     )
-    joined = pairs.join(pools, pairs["transaction_id"].eqNullSafe(pools["__tx"]), "inner")
-    key = _order_key()
+    salts = F.when(F.col("__tx").isNull(), F.sequence(F.lit(0), F.lit(NULL_POOL_SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    pools = pools.withColumn("__pool_salt", F.explode(salts))
+    salt = F.when(
+        F.col("transaction_id").isNull(),
+        F.pmod(F.xxhash64(USER, SID, "conversion_us"), F.lit(NULL_POOL_SALTS)).cast("int"),
+    ).otherwise(F.lit(0))
+    joined = pairs.withColumn("__salt", salt).join(
+        pools, F.col("transaction_id").eqNullSafe(F.col("__tx")) & (F.col("__salt") == F.col("__pool_salt")), "inner"
+    )
     return joined.select(
+        *pairs.columns,
+        "total_interactions",
+        (key == F.col("__first")).alias("is_first"),
+        (key == F.col("__last")).alias("is_last"),
+        "decay_total",
+    )
+
+
+def touchpoints(
+    conv: DataFrame,
+    inter: DataFrame,
+    window_days: int = 30,
+    half_life_days: float = HALF_LIFE_DAYS,
+) -> DataFrame:
+    """`touch_pairs` with the statistics of each row's pool:
+
+    user_pseudo_id, ga_session_id, medium, interaction_us, conversion_session_id,
+    conversion_us, revenue, transaction_id, total_interactions, is_first,
+    is_last, decay_weight, decay_total.
+    """
+    return with_pools(touch_pairs(conv, inter, window_days, half_life_days)).select(
         USER,
         SID,
         "medium",
@@ -190,8 +231,8 @@ def touchpoints(
         "revenue",
         "transaction_id",
         "total_interactions",
-        (key == F.col("__first")).alias("is_first"),
-        (key == F.col("__last")).alias("is_last"),
+        "is_first",
+        "is_last",
         "decay_weight",
         "decay_total",
     )
@@ -216,76 +257,132 @@ def with_shares(tp: DataFrame, position_weights: tuple[float, float, float] = PO
     )
 
 
+def pool_credits(
+    pairs: DataFrame, position_weights: tuple[float, float, float] = POSITION_WEIGHTS
+) -> DataFrame:
+    """Credit of each medium in each pool under the five models, one row per
+    (transaction_id, medium): is_first, is_last, first_revenue, last_revenue and
+    <model>_revenue, <model>_conversions for linear, position and decay.
+    `pairs` are rows of `touch_pairs` or `touchpoints`."""
+    first_w, middle_w, last_w = (float(w) for w in position_weights)
+    key = _order_key(pairs)
+    parts = pairs.groupBy("transaction_id", "medium").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("revenue").alias("rev"),
+        F.sum("decay_weight").alias("w"),
+        F.sum(F.col("revenue") * F.col("decay_weight")).alias("rev_w"),
+        F.min(key).alias("lo"),
+        F.max(key).alias("hi"),
+    )
+    pool = Window.partitionBy("transaction_id")  # one row a medium
+    parts = parts.select(
+        "*",
+        F.sum("n").over(pool).alias("total"),
+        F.sum("w").over(pool).alias("w_total"),
+        (F.col("lo") == F.min("lo").over(pool)).alias("is_first"),
+        (F.col("hi") == F.max("hi").over(pool)).alias("is_last"),
+    )
+    first, last = F.col("is_first").cast("int"), F.col("is_last").cast("int")
+    first_rev = first * F.coalesce(F.col("lo.revenue"), F.lit(0.0))
+    last_rev = last * F.coalesce(F.col("hi.revenue"), F.lit(0.0))
+    n, total, rev = F.col("n"), F.col("total"), F.col("rev")
+    middle = F.lit(middle_w) / (total - 2)
+
+    def position(whole: Column, at_first: Column, at_last: Column) -> Column:
+        rest = whole - at_first - at_last
+        return (
+            F.when(whole.isNull(), F.lit(None).cast("double"))
+            .when(total == 1, whole.cast("double"))
+            .when(total == 2, whole * 0.5)
+            .otherwise(first_w * at_first + last_w * at_last + middle * rest)
+        )
+
+    return parts.select(
+        "transaction_id",
+        "medium",
+        "is_first",
+        "is_last",
+        F.col("lo.revenue").alias("first_revenue"),
+        F.col("hi.revenue").alias("last_revenue"),
+        (rev / total).alias("linear_revenue"),
+        (n / total).alias("linear_conversions"),
+        position(rev, first_rev, last_rev).alias("position_revenue"),
+        position(n, first, last).alias("position_conversions"),
+        (F.col("rev_w") / F.col("w_total")).alias("decay_revenue"),
+        (F.col("w") / F.col("w_total")).alias("decay_conversions"),
+    )
+
+
 def first_touch(tp: DataFrame) -> DataFrame:
+    # a pool has one first row, so counting them counts transaction ids
     return (
-        tp.filter(F.col("is_first"))
+        pool_credits(tp).filter("is_first")
         .groupBy("medium")
         .agg(
-            F.sum("revenue").alias("revenueFirstTouch"),
-            F.count_distinct("transaction_id").alias("conversionsFirstTouch"),
+            F.sum("first_revenue").alias("revenueFirstTouch"),
+            F.count("transaction_id").alias("conversionsFirstTouch"),
         )
     )
 
 
 def last_touch(tp: DataFrame) -> DataFrame:
     return (
-        tp.filter(F.col("is_last"))
+        pool_credits(tp).filter("is_last")
         .groupBy("medium")
         .agg(
-            F.sum("revenue").alias("revenueLastTouch"),
-            F.count_distinct("transaction_id").alias("conversionsLastTouch"),
+            F.sum("last_revenue").alias("revenueLastTouch"),
+            F.count("transaction_id").alias("conversionsLastTouch"),
         )
     )
 
 
-def _share_model(tp: DataFrame, share: str, name: str) -> DataFrame:
-    shared = with_shares(tp)
-    return shared.groupBy("medium").agg(
-        F.sum(F.col("revenue") * F.col(share)).alias(f"revenue{name}"),
-        F.sum(F.col(share)).alias(f"conversions{name}"),
+def _share_model(credits: DataFrame, model: str) -> DataFrame:
+    return credits.groupBy("medium").agg(
+        F.sum(f"{model}_revenue").alias(f"revenue{model.title()}"),
+        F.sum(f"{model}_conversions").alias(f"conversions{model.title()}"),
     )
 
 
 def linear(tp: DataFrame) -> DataFrame:
-    return _share_model(tp, "linear_share", "Linear")
+    return _share_model(pool_credits(tp), "linear")
 
 
-def position_based(tp: DataFrame) -> DataFrame:
-    return _share_model(tp, "position_share", "Position")
+def position_based(
+    tp: DataFrame, position_weights: tuple[float, float, float] = POSITION_WEIGHTS
+) -> DataFrame:
+    return _share_model(pool_credits(tp, position_weights), "position")
 
 
 def time_decay(tp: DataFrame) -> DataFrame:
-    return _share_model(tp, "decay_share", "Decay")
-
-
-def compare_models(tp: DataFrame) -> DataFrame:
-    """All five models in one aggregation over the touchpoints (one shuffle,
-    partial aggregation per medium) instead of five aggregations joined.
-
-    Each pool has exactly one first and one last row, so the distinct count of
-    transaction ids among first rows of a medium equals the number of such
-    rows with a non-NULL id."""
-    s = with_shares(tp)
-    first, last = F.col("is_first"), F.col("is_last")
-    has_tx = F.col("transaction_id").isNotNull()
-    rev = F.col("revenue")
-    agg = s.groupBy("medium").agg(
-        F.sum(F.when(first, rev)).alias("revenueFirstTouch"),
-        F.count(F.when(first & has_tx, F.lit(1))).alias("conversionsFirstTouch"),
-        F.sum(F.when(last, rev)).alias("revenueLastTouch"),
-        F.count(F.when(last & has_tx, F.lit(1))).alias("conversionsLastTouch"),
-        F.sum(rev * F.col("linear_share")).alias("revenueLinear"),
-        F.sum("linear_share").alias("conversionsLinear"),
-        F.sum(rev * F.col("position_share")).alias("revenuePosition"),
-        F.sum("position_share").alias("conversionsPosition"),
-        F.sum(rev * F.col("decay_share")).alias("revenueDecay"),
-        F.sum("decay_share").alias("conversionsDecay"),
+    return _share_model(pool_credits(tp), "decay")
+
+
+def compare_models(
+    tp: DataFrame,
+    position_weights: tuple[float, float, float] = POSITION_WEIGHTS,
+    keep_all_media: bool = False,
+) -> DataFrame:
+    """All five models in one aggregation over the pools' credits instead of
+    five aggregations joined. keep_all_media keeps the media (NULL too) that the
+    original's inner joins lose."""
+    tx, first, last = F.col("transaction_id"), F.col("is_first"), F.col("is_last")
+    agg = pool_credits(tp, position_weights).groupBy("medium").agg(
+        F.sum(F.when(first, F.col("first_revenue"))).alias("revenueFirstTouch"),
+        F.count(F.when(first, tx)).alias("conversionsFirstTouch"),
+        F.sum(F.when(last, F.col("last_revenue"))).alias("revenueLastTouch"),
+        F.count(F.when(last, tx)).alias("conversionsLastTouch"),
+        F.sum("linear_revenue").alias("revenueLinear"),
+        F.sum("linear_conversions").alias("conversionsLinear"),
+        F.sum("position_revenue").alias("revenuePosition"),
+        F.sum("position_conversions").alias("conversionsPosition"),
+        F.sum("decay_revenue").alias("revenueDecay"),
+        F.sum("decay_conversions").alias("conversionsDecay"),
         F.count_if(first).alias("__firsts"),
         F.count_if(last).alias("__lasts"),
     )
-    return agg.filter(
-        F.col("medium").isNotNull() & (F.col("__firsts") > 0) & (F.col("__lasts") > 0)
-    ).select(*MODEL_COLUMNS)
+    if not keep_all_media:
+        agg = agg.filter(F.col("medium").isNotNull() & (F.col("__firsts") > 0) & (F.col("__lasts") > 0))
+    return agg.select(*MODEL_COLUMNS)
 
 
 def compare_models_joined(tp: DataFrame) -> DataFrame:
@@ -297,33 +394,56 @@ def compare_models_joined(tp: DataFrame) -> DataFrame:
     return out.select(*MODEL_COLUMNS)
 
 
-def attribution_touchpoints(
+Dates = tuple[str | None, str | None]
+
+
+def attribution_pairs(
     events: DataFrame,
-    conversion_dates: tuple[str, str],
-    session_dates: tuple[str, str],
-    history_dates: tuple[str, str],
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
     era: str = "post",
     window_days: int = 30,
     conversion_event: str = "purchase",
+    half_life_days: float = HALF_LIFE_DAYS,
 ) -> DataFrame:
+    """`touch_pairs` of an export; a date of None is no bound."""
     conv = conversions(shard_between(events, *conversion_dates), conversion_event)
     current = attribution_sessions(shard_between(events, *session_dates), era)
     history = session_history_first(shard_between(events, *history_dates))
-    return touchpoints(conv, interactions(current, history), window_days)
+    return touch_pairs(conv, interactions(current, history), window_days, half_life_days)
+
+
+def attribution_touchpoints(
+    events: DataFrame,
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
+    era: str = "post",
+    window_days: int = 30,
+    conversion_event: str = "purchase",
+    half_life_days: float = HALF_LIFE_DAYS,
+) -> DataFrame:
+    pairs = attribution_pairs(
+        events, conversion_dates, session_dates, history_dates, era, window_days, conversion_event, half_life_days
+    )
+    return with_pools(pairs).drop("raw_medium")
 
 
 def attribution_report(
     events: DataFrame,
-    conversion_dates: tuple[str, str],
-    session_dates: tuple[str, str],
-    history_dates: tuple[str, str],
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
     era: str = "post",
     window_days: int = 30,
     conversion_event: str = "purchase",
+    half_life_days: float = HALF_LIFE_DAYS,
+    position_weights: tuple[float, float, float] = POSITION_WEIGHTS,
+    keep_all_media: bool = False,
 ) -> DataFrame:
     """The five-model comparison per medium."""
-    return compare_models(
-        attribution_touchpoints(
-            events, conversion_dates, session_dates, history_dates, era, window_days, conversion_event
-        )
+    pairs = attribution_pairs(
+        events, conversion_dates, session_dates, history_dates, era, window_days, conversion_event, half_life_days
     )
+    return compare_models(pairs, position_weights, keep_all_media)

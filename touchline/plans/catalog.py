@@ -1,9 +1,10 @@
 """Registered queries: one callable (spark, sf_dir) -> DataFrame per job.
 
-Each reads the `events` test table of `sf_dir` through the export adapter and
-runs over every shard (the date range covers all data). Outputs are made
-engine-neutral for comparison with the DuckDB oracle: TIMESTAMP columns
-become epoch microseconds (`*_us`) and doubles are rounded to 4 places.
+Each reads the `events` test table of `sf_dir` through the export adapter, and
+all of it, except for the rows whose feature is a date window (`shard_*` and
+`*_window_*`, `lookback_one_day`). Outputs are made engine-neutral for
+comparison with the DuckDB oracle: TIMESTAMP columns become epoch microseconds
+(`*_us`) and doubles are rounded to 4 places.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from touchline.functions.channels import SiteLists
 from touchline.functions.params import page_location, session_id
 from touchline.functions.timefn import shift_date_key
 from touchline.plans import attribution as A
@@ -20,18 +22,26 @@ from touchline.plans import sessions as S
 from touchline.plans.channels import NO_CAMPAIGN, NO_MEDIUM, NO_SOURCE, channel_report
 from touchline.plans.lookback import lookback_window
 from touchline.plans.sql_functions import DEFAULT_EVENTS_VIEW, register_sql_functions
-from touchline.sources.export import shard_between
+from touchline.sources.export import shard_between, shard_day, shard_prefix
 from touchline.sources.fixture import read_test_events
 
-# Every shard: the jobs' date windows are parameters; registered queries use
-# a range that covers all data.
-ALL_START, ALL_END = "20000101", "20991231"
-ALL = (ALL_START, ALL_END)
+ALL = (None, None)  # no bound: every event, also one without a date
+# Windows inside the month that the test table spans.
+EXACT_DAY = "20240118"
+PREFIX = "2024011"
+WINDOW = ("20240120", "20240126")
+WINDOW_HISTORY_DAYS = 10
 HISTORY_DAYS = 90
-TOUCH_WINDOW_DAYS = 30
+TOUCH_WINDOW_DAYS = 14  # shorter than the data, so that it excludes touches
+LONG_TOUCH_WINDOW_DAYS = 30
 LOOKBACK_STATIC_DAYS = 7
 LOOKBACK_TVF_DAYS = 14
+# The social sites among the sources of the test table.
+SITES = SiteLists(social=("facebook.com",))
 DECIMALS = 4
+# Sums of shares can lie exactly between two rounded values, where the last bits
+# of a sum (the order of its rows) would decide; both engines round beside it.
+OFF_TIE = 1e-7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +52,7 @@ def neutral(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             cols.append(F.unix_micros(F.col(f.name).cast("timestamp")).alias(f"{f.name}_us"))
         elif isinstance(f.dataType, T.DoubleType):
-            cols.append(F.round(F.col(f.name), DECIMALS).alias(f.name))
+            cols.append(F.round(F.col(f.name) + OFF_TIE, DECIMALS).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -56,8 +66,8 @@ def _all(spark, sf_dir) -> DataFrame:
     return shard_between(_ev(spark, sf_dir), *ALL)
 
 
-def _touchpoints(spark, sf_dir, era="post") -> DataFrame:
-    return A.attribution_touchpoints(_ev(spark, sf_dir), ALL, ALL, ALL, era, TOUCH_WINDOW_DAYS)
+def _pairs(spark, sf_dir, era="post", days=TOUCH_WINDOW_DAYS) -> DataFrame:
+    return A.attribution_pairs(_ev(spark, sf_dir), ALL, ALL, ALL, era, days)
 
 
 def q_event_params(spark, sf_dir):
@@ -71,13 +81,28 @@ def q_shard_range_counts(spark, sf_dir):
     return _all(spark, sf_dir).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
+def q_shard_exact(spark, sf_dir):
+    day = shard_day(_ev(spark, sf_dir), EXACT_DAY)
+    return day.groupBy("event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def q_shard_prefix(spark, sf_dir):
+    days = shard_prefix(_ev(spark, sf_dir), PREFIX)
+    return days.groupBy("event_date", "event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def q_shard_window(spark, sf_dir):
+    """The computed range of a history: start - N days to the end."""
+    ev = shard_between(_ev(spark, sf_dir), shift_date_key(WINDOW[0], -WINDOW_HISTORY_DAYS), WINDOW[1])
+    return ev.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
+
+
 def q_session_source(era):
     return lambda spark, sf_dir: S.current_sessions(_all(spark, sf_dir), era)
 
 
 def q_history_last_nonnull(spark, sf_dir):
-    ev = shard_between(_ev(spark, sf_dir), shift_date_key(ALL_START, -HISTORY_DAYS), ALL_END)
-    return S.session_history_last_nonnull(ev, exclude_system=False)
+    return S.session_history_last_nonnull(_ev(spark, sf_dir), exclude_system=False)
 
 
 def q_history_first(spark, sf_dir):
@@ -92,6 +117,10 @@ def q_sessions_by_medium(era):
     return lambda spark, sf_dir: S.traffic_report(_ev(spark, sf_dir), *ALL, era, HISTORY_DAYS)
 
 
+def q_sessions_window(era):
+    return lambda spark, sf_dir: S.traffic_report(_ev(spark, sf_dir), *WINDOW, era, WINDOW_HISTORY_DAYS)
+
+
 def q_conversions(spark, sf_dir):
     return neutral(A.conversions(_all(spark, sf_dir)))
 
@@ -99,38 +128,61 @@ def q_conversions(spark, sf_dir):
 def q_interactions(era):
     def run(spark, sf_dir):
         ev = _all(spark, sf_dir)
-        return A.interactions(A.attribution_sessions(ev, era), S.session_history_first(ev))
+        rows = A.interactions(A.attribution_sessions(ev, era), S.session_history_first(ev))
+        return rows.drop("raw_medium")
     return run
 
 
-def q_touchpoints(spark, sf_dir):
-    tp = A.with_shares(_touchpoints(spark, sf_dir))
-    return neutral(tp.drop("decay_weight", "decay_total"))
+def q_touchpoints(days):
+    def run(spark, sf_dir):
+        tp = A.with_shares(A.with_pools(_pairs(spark, sf_dir, days=days)))
+        return neutral(tp.drop("raw_medium", "decay_weight", "decay_total"))
+    return run
 
 
 def q_model(fn):
-    return lambda spark, sf_dir: neutral(fn(_touchpoints(spark, sf_dir)))
+    return lambda spark, sf_dir: neutral(fn(_pairs(spark, sf_dir)))
 
 
 def q_compare(era):
-    return lambda spark, sf_dir: neutral(A.compare_models(_touchpoints(spark, sf_dir, era)))
+    return lambda spark, sf_dir: neutral(A.compare_models(_pairs(spark, sf_dir, era)))
+
+
+def q_compare_window(spark, sf_dir):
+    """Conversions of a week, sessions of the two weeks up to its end, the
+    history of all before."""
+    ev = _ev(spark, sf_dir)
+    sessions = (shift_date_key(WINDOW[0], -TOUCH_WINDOW_DAYS), WINDOW[1])
+    return neutral(A.attribution_report(ev, WINDOW, sessions, (None, WINDOW[1]), "post", TOUCH_WINDOW_DAYS))
 
 
 def q_lookback_static(spark, sf_dir):
     return neutral(lookback_window(_ev(spark, sf_dir), LOOKBACK_STATIC_DAYS, "purchase", ALL, ALL))
 
 
+def q_lookback_one_day(spark, sf_dir):
+    day = (EXACT_DAY, EXACT_DAY)
+    return neutral(lookback_window(_ev(spark, sf_dir), LOOKBACK_STATIC_DAYS, "purchase", day))
+
+
+def q_lookback_tvf_one_day(spark, sf_dir):
+    register_sql_functions(spark, SITES, _ev(spark, sf_dir))
+    return neutral(spark.sql(
+        f"SELECT * FROM lookback_window({LOOKBACK_STATIC_DAYS}, 'purchase', '{EXACT_DAY}', '{EXACT_DAY}')"
+    ))
+
+
 def q_lookback_tvf(spark, sf_dir):
-    register_sql_functions(spark, _ev(spark, sf_dir))
+    register_sql_functions(spark, SITES, _ev(spark, sf_dir))
     return neutral(spark.sql(f"SELECT * FROM lookback_window({LOOKBACK_TVF_DAYS}, 'purchase')"))
 
 
 def q_channel_report(spark, sf_dir):
-    return channel_report(_ev(spark, sf_dir), *ALL, "post", HISTORY_DAYS)
+    return channel_report(_ev(spark, sf_dir), *ALL, SITES, "post", HISTORY_DAYS)
 
 
 def q_channel_sql(spark, sf_dir):
-    register_sql_functions(spark, _ev(spark, sf_dir))
+    register_sql_functions(spark, SITES, _ev(spark, sf_dir))
     return spark.sql(
         f"""
         SELECT default_channel_grouping(
@@ -149,6 +201,9 @@ def q_channel_sql(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "event_params": q_event_params,
     "shard_range_counts": q_shard_range_counts,
+    "shard_exact": q_shard_exact,
+    "shard_prefix": q_shard_prefix,
+    "shard_window": q_shard_window,
     "session_source_post": q_session_source("post"),
     "session_source_pre": q_session_source("pre"),
     "session_history_last_nonnull": q_history_last_nonnull,
@@ -157,10 +212,13 @@ QUERIES: dict[str, Query] = {
     "last_non_direct_pre": q_last_non_direct("pre"),
     "sessions_by_medium_post": q_sessions_by_medium("post"),
     "sessions_by_medium_pre": q_sessions_by_medium("pre"),
+    "sessions_by_medium_window_post": q_sessions_window("post"),
+    "sessions_by_medium_window_pre": q_sessions_window("pre"),
     "conversions": q_conversions,
     "interactions_post": q_interactions("post"),
     "interactions_pre": q_interactions("pre"),
-    "touchpoints_post": q_touchpoints,
+    "touchpoints_post": q_touchpoints(TOUCH_WINDOW_DAYS),
+    "touchpoints_30d_post": q_touchpoints(LONG_TOUCH_WINDOW_DAYS),
     "attr_first_post": q_model(A.first_touch),
     "attr_last_post": q_model(A.last_touch),
     "attr_linear_post": q_model(A.linear),
@@ -168,7 +226,10 @@ QUERIES: dict[str, Query] = {
     "attr_decay_post": q_model(A.time_decay),
     "attr_compare_post": q_compare("post"),
     "attr_compare_pre": q_compare("pre"),
+    "attr_compare_window_post": q_compare_window,
     "lookback_static": q_lookback_static,
+    "lookback_one_day": q_lookback_one_day,
+    "lookback_tvf_one_day": q_lookback_tvf_one_day,
     "lookback_tvf": q_lookback_tvf,
     "channel_report_post": q_channel_report,
     "channel_sql_session_start": q_channel_sql,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from touchline.functions.channels import DEFAULT_SITES, SiteLists, default_channel_grouping
+from touchline.functions.channels import SiteLists, default_channel_grouping
 from touchline.plans.sessions import SID, USER, filled_sessions
 
 NO_MEDIUM, NO_SOURCE, NO_CAMPAIGN = "(none)", "(direct)", "(not set)"
@@ -18,11 +18,12 @@ NO_MEDIUM, NO_SOURCE, NO_CAMPAIGN = "(none)", "(direct)", "(not set)"
 
 def session_channels(
     events: DataFrame,
-    start_date: str,
-    end_date: str,
+    start_date: str | None,
+    end_date: str | None,
+    sites: SiteLists,
     era: str = "post",
     history_days: int = 90,
-    sites: SiteLists = DEFAULT_SITES,
+    fix_push_rule: bool = False,
 ) -> DataFrame:
     filled = filled_sessions(events, start_date, end_date, era, history_days, with_campaign=True)
     channel = default_channel_grouping(
@@ -30,20 +31,22 @@ def session_channels(
         F.coalesce(F.col("src"), F.lit(NO_SOURCE)),
         F.coalesce(F.col("campaign"), F.lit(NO_CAMPAIGN)),
         sites,
+        fix_push_rule=fix_push_rule,
     )
     return filled.select(USER, SID, "medium", "src", "campaign", channel.alias("channel"))
 
 
 def channel_report(
     events: DataFrame,
-    start_date: str,
-    end_date: str,
+    start_date: str | None,
+    end_date: str | None,
+    sites: SiteLists,
     era: str = "post",
     history_days: int = 90,
-    sites: SiteLists = DEFAULT_SITES,
+    fix_push_rule: bool = False,
 ) -> DataFrame:
     return (
-        session_channels(events, start_date, end_date, era, history_days, sites)
+        session_channels(events, start_date, end_date, sites, era, history_days, fix_push_rule)
         .groupBy("channel")
         .agg(F.count_distinct(USER, SID).alias("sessions"))
         .orderBy(F.desc("sessions"), F.asc("channel"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.params import page_location
-from touchline.functions.timefn import micros_to_timestamp
+from touchline.functions.timefn import micros_to_timestamp, shift_date_key
 from touchline.operators.asof import asof_forward
 from touchline.schema import MICROS_PER_DAY
 from touchline.sources.export import shard_between
@@ -46,13 +46,13 @@ def converters(events: DataFrame, conversion_event: str = "purchase") -> DataFra
 
 
 def page_views(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_name") == "page_view").select(
-        USER,
-        F.col("event_timestamp").alias("page_us"),
-        F.struct(
-            F.col("event_timestamp").alias("page_us"),
-            page_location().alias("location"),
-        ).alias("page"),
+    """One row per (user, page time): exports batch events under one timestamp,
+    and of views at one time the smallest location stands for all."""
+    views = events.filter(F.col("event_name") == "page_view").select(
+        USER, F.col("event_timestamp").alias("page_us"), page_location().alias("location")
+    )
+    return views.groupBy(USER, "page_us").agg(F.min("location").alias("location")).select(
+        USER, "page_us", F.struct("page_us", "location").alias("page")
     )
 
 
@@ -102,14 +102,21 @@ def lookback_window(
     events: DataFrame,
     days: int = 7,
     conversion_event: str = "purchase",
-    conversion_dates: tuple[str, str] | None = None,
-    page_dates: tuple[str, str] | None = None,
+    conversion_dates: tuple[str | None, str | None] | None = None,
+    page_dates: tuple[str | None, str | None] | None = None,
     bucket_width: int = HOUR_US,
 ) -> DataFrame:
-    """Conversions of `conversion_dates` (inclusive yyyyMMdd suffix range;
-    None = all), page views of `page_dates` (None = all)."""
-    conv_ev = shard_between(events, *conversion_dates) if conversion_dates else events
-    page_ev = shard_between(events, *page_dates) if page_dates else events
+    """Conversions of `conversion_dates` (inclusive yyyyMMdd suffix range; None
+    = all). Page views of `page_dates`; None = the conversions' range, widened
+    by the lookback days and one more day on both sides (shard dates follow the
+    export's zone, times are UTC), so that only shards that can hold a view of
+    the window are read."""
+    start, end = conversion_dates or (None, None)
+    if page_dates is None:
+        page_dates = (shift_date_key(start, -days - 1), shift_date_key(end, 1))
     return first_page_in_window(
-        converters(conv_ev, conversion_event), page_views(page_ev), days, bucket_width
+        converters(shard_between(events, start, end), conversion_event),
+        page_views(shard_between(events, *page_dates)),
+        days,
+        bucket_width,
     )

@@ -30,7 +30,6 @@ USER = "user_pseudo_id"
 SID = "ga_session_id"
 
 
-
 def _traffic(field: str):
     return F.col(f"collected_traffic_source.{field}")
 
@@ -194,14 +193,14 @@ def sessions_by_medium(filled: DataFrame) -> DataFrame:
 
 def filled_sessions(
     events: DataFrame,
-    start_date: str,
-    end_date: str,
+    start_date: str | None,
+    end_date: str | None,
     era: str = "post",
     history_days: int = 90,
     with_campaign: bool = False,
 ) -> DataFrame:
     """Current sessions of [start, end] filled from the history of
-    [start - history_days, end]. In era "post" the history reads every event;
+    [start - history_days, end]; None is no bound. In era "post" the history reads every event;
     in "pre" only interaction events."""
     _check_era(era)
     current = current_sessions(shard_between(events, start_date, end_date), era, with_campaign)
@@ -212,8 +211,8 @@ def filled_sessions(
 
 def traffic_report(
     events: DataFrame,
-    start_date: str,
-    end_date: str,
+    start_date: str | None,
+    end_date: str | None,
     era: str = "post",
     history_days: int = 90,
 ) -> DataFrame:

@@ -9,7 +9,8 @@
       [, conversion_start, conversion_end, page_start, page_end]) -> TABLE
       A SQL table function over a registered events view: the first page
       seen within the lookback window before each conversion, one row per
-      transaction id. Same algorithm as `touchline.plans.lookback` (forward
+      transaction id. A NULL date is no bound; NULL page dates follow from the
+      conversion dates and the lookback days. Same algorithm as `touchline.plans.lookback` (forward
       as-of over time buckets, no conversion x page-view join).
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.functions.channels import DEFAULT_SITES, SiteLists, channel_case_sql
+from touchline.functions.channels import SiteLists, channel_case_sql
 from touchline.plans.lookback import HOUR_US
 from touchline.schema import MICROS_PER_DAY
 
@@ -26,13 +27,15 @@ DEFAULT_EVENTS_VIEW = "touchline_events"
 _PAGE_TYPE = "STRUCT<page_us: BIGINT, location: STRING>"
 
 
-def channel_function_sql(sites: SiteLists = DEFAULT_SITES, name: str = "default_channel_grouping") -> str:
+def channel_function_sql(
+    sites: SiteLists, name: str = "default_channel_grouping", fix_push_rule: bool = False
+) -> str:
     body = channel_case_sql(
         "medium",
         "source",
         "campaign",
         sites,
-        dialect="spark",
+        fix_push_rule=fix_push_rule,
         added={
             "shopping": "shopping_sites_add",
             "search": "search_sites_add",
@@ -62,11 +65,14 @@ def lookback_function_sql(
         "get(event_params, CAST(array_position(event_params.key, 'page_location') - 1 AS INT))"
         ".value.string_value"
     )
+    shifted = "date_format(date_add(to_date({0}, 'yyyyMMdd'), {1}), 'yyyyMMdd')"
+    page_from = f"coalesce(page_start, {shifted.format('conversion_start', '-lookback_window_days - 1')})"
+    page_to = f"coalesce(page_end, {shifted.format('conversion_end', '1')})"
     return f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(
     lookback_window_days INT, conversion_event STRING,
-    conversion_start STRING DEFAULT '00000000', conversion_end STRING DEFAULT '99999999',
-    page_start STRING DEFAULT '00000000', page_end STRING DEFAULT '99999999')
+    conversion_start STRING DEFAULT NULL, conversion_end STRING DEFAULT NULL,
+    page_start STRING DEFAULT NULL, page_end STRING DEFAULT NULL)
 RETURNS TABLE(user_pseudo_id STRING, purchase_revenue DOUBLE, purchase_time TIMESTAMP,
               first_page_time TIMESTAMP, first_page_location STRING)
 RETURN
@@ -75,21 +81,28 @@ WITH probe AS (
          ecommerce.purchase_revenue AS purchase_revenue, ecommerce.transaction_id AS transaction_id,
          -(event_timestamp - CAST(lookback_window_days AS BIGINT) * {day}) AS nk
   FROM {events_view}
-  WHERE event_name = conversion_event AND event_date BETWEEN conversion_start AND conversion_end
+  WHERE event_name = conversion_event AND user_pseudo_id IS NOT NULL
+    AND (conversion_start IS NULL OR event_date >= conversion_start)
+    AND (conversion_end IS NULL OR event_date <= conversion_end)
 ),
 build AS (
   SELECT user_pseudo_id, -event_timestamp AS nk,
-         named_struct('page_us', event_timestamp, 'location', {page_loc}) AS page
+         named_struct('page_us', event_timestamp, 'location', min({page_loc})) AS page
   FROM {events_view}
-  WHERE event_name = 'page_view' AND event_date BETWEEN page_start AND page_end
+  WHERE event_name = 'page_view' AND user_pseudo_id IS NOT NULL
+    AND ({page_from} IS NULL OR event_date >= {page_from})
+    AND ({page_to} IS NULL OR event_date <= {page_to})
+  GROUP BY user_pseudo_id, event_timestamp
 ),
 stacked AS (
-  SELECT user_pseudo_id, {_bucket('nk', bucket_width)} AS b, nk, conversion_us, purchase_revenue,
-         transaction_id, CAST(NULL AS {_PAGE_TYPE}) AS page, 0 AS is_build
-  FROM probe
-  UNION ALL
-  SELECT user_pseudo_id, {_bucket('nk', bucket_width)} AS b, nk, NULL, NULL, NULL, page, 1
-  FROM build
+  SELECT /*+ REPARTITION(user_pseudo_id, b) */ * FROM (
+    SELECT user_pseudo_id, {_bucket('nk', bucket_width)} AS b, nk, conversion_us, purchase_revenue,
+           transaction_id, CAST(NULL AS {_PAGE_TYPE}) AS page, 0 AS is_build
+    FROM probe
+    UNION ALL
+    SELECT user_pseudo_id, {_bucket('nk', bucket_width)} AS b, nk, NULL, NULL, NULL, page, 1
+    FROM build
+  )
 ),
 in_bucket AS (
   SELECT user_pseudo_id, b, conversion_us, purchase_revenue, transaction_id, is_build,
@@ -98,25 +111,21 @@ in_bucket AS (
   FROM stacked
 ),
 summary AS (
-  SELECT user_pseudo_id, b, max_by(page, nk) AS page FROM stacked WHERE is_build = 1
-  GROUP BY user_pseudo_id, b
+  SELECT user_pseudo_id, b, max_by(page, IF(is_build = 1, nk, NULL)) AS page,
+         max(IF(is_build = 0, xxhash64(conversion_us, purchase_revenue, transaction_id), NULL)) AS probes
+  FROM stacked GROUP BY user_pseudo_id, b
 ),
 carry AS (
-  SELECT user_pseudo_id, b, is_build,
+  SELECT user_pseudo_id, b, probes,
          last(page) IGNORE NULLS OVER (PARTITION BY user_pseudo_id ORDER BY b
                                        RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c_page
-  FROM (
-    SELECT DISTINCT user_pseudo_id, b, CAST(NULL AS {_PAGE_TYPE}) AS page, 0 AS is_build
-    FROM stacked WHERE is_build = 0
-    UNION ALL
-    SELECT user_pseudo_id, b, page, 1 AS is_build FROM summary
-  )
+  FROM summary
 ),
 found AS (
   SELECT i.user_pseudo_id, i.conversion_us, i.purchase_revenue, i.transaction_id,
          coalesce(i.in_page, c.c_page) AS page
   FROM in_bucket i
-  LEFT JOIN (SELECT * FROM carry WHERE is_build = 0) c
+  LEFT JOIN (SELECT * FROM carry WHERE probes IS NOT NULL) c
     ON i.user_pseudo_id = c.user_pseudo_id AND i.b = c.b
   WHERE i.is_build = 0
 ),
@@ -137,15 +146,16 @@ FROM picked
 
 def register_sql_functions(
     spark: SparkSession,
+    sites: SiteLists,
     events: DataFrame | None = None,
     events_view: str = DEFAULT_EVENTS_VIEW,
-    sites: SiteLists = DEFAULT_SITES,
+    fix_push_rule: bool = False,
 ) -> None:
     """Register the channel function, and the lookback table function when an
     events view exists; `events` (export-shaped) is registered as
     `events_view` when given."""
     if events is not None:
         events.createOrReplaceTempView(events_view)
-    spark.sql(channel_function_sql(sites))
+    spark.sql(channel_function_sql(sites, fix_push_rule=fix_push_rule))
     if spark.catalog.tableExists(events_view):
         spark.sql(lookback_function_sql(events_view))

@@ -30,9 +30,16 @@ def _date(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def shard_between(df: DataFrame, start: str, end: str, date_col: str = "event_date") -> DataFrame:
-    """Inclusive lexical suffix range (`_table_suffix BETWEEN a AND b`)."""
-    return df.filter(_date(date_col).between(F.lit(start), F.lit(end)))
+def shard_between(
+    df: DataFrame, start: str | None, end: str | None, date_col: str = "event_date"
+) -> DataFrame:
+    """Inclusive lexical suffix range (`_table_suffix BETWEEN a AND b`). None is
+    no bound on that side; without any, every row stays, also one without a date."""
+    if start is not None:
+        df = df.filter(_date(date_col) >= F.lit(start))
+    if end is not None:
+        df = df.filter(_date(date_col) <= F.lit(end))
+    return df
 
 
 def shard_day(df: DataFrame, day: str, date_col: str = "event_date") -> DataFrame:

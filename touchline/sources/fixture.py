@@ -4,7 +4,7 @@ The test table has (event_id, ts TIMESTAMP_NTZ, user_id, event_type, value,
 props JSON {"k": 0..99}); the analyses need the export shape. Every field is a
 deterministic function of one input row (a projection: no row is dropped), so
 the adapter adds no shuffle and Catalyst prunes whatever a job does not use.
-The same mapping is written in DuckDB SQL in `touchline.plans.oracle`.
+The same mapping is written in DuckDB SQL in `touchline.oracle`.
 """
 
 from __future__ import annotations
