@@ -168,6 +168,12 @@ def test_filled_sessions_reads_each_input_once(spark, export, era):
     assert scans(S.filled_sessions(export, "20240310", "20240320", era, 9)) <= 2
 
 
+def test_lookback_reads_each_input_once(spark, export):
+    assert scans(lookback_window(export, 7, "purchase", ("20240310", "20240320"))) <= 2
+    register_sql_functions(spark, SITES, export)
+    assert scans(spark.sql("SELECT * FROM lookback_window(7, 'purchase', '20240310', '20240320')")) <= 2
+
+
 def test_touchpoints_read_each_input_once(spark, export):
     dates = ("20240301", "20240331")
     assert scans(A.attribution_touchpoints(export, dates, dates, dates)) <= 3

@@ -26,7 +26,9 @@ stacked rows are hash-partitioned on (group, bucket) in one exchange, which
 level 1 and level 2 both read. For that, neither filters the stacked rows and
 both use all their columns; otherwise the optimizer would prune and filter each
 use below the exchange, and the inputs would be scanned and shuffled twice. The
-carry join is planned by AQE from runtime sizes (broadcast when small).
+carry join is planned by AQE from runtime sizes (broadcast when small). A caller
+that never uses some probe column should not pass it: pruned from level 1 alone,
+it would undo the sharing.
 
 A NULL group key matches nothing (SQL equality), so rows that have one are
 left out on both sides: they are neither probes nor matches, and all

@@ -75,7 +75,7 @@ def first_page_in_window(
         values=["page"],
         bucket_width=bucket_width,
         count_col="__pages_after",
-    ).filter(F.col("page").isNotNull() & (F.col("page.page_us") <= F.col("conversion_us")))
+    ).filter(F.col("page.page_us").between(F.col("__from_us"), F.col("conversion_us")))
     order = F.struct(
         F.col("page.page_us"),
         F.col("conversion_us"),
