@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 # One id as it is stored and summed: little-endian unsigned 32 bits.
 ID_BYTES = 4
 _CHUNK_STORE = 250_000  # chunks in each of the two generations of a worker's store
+_LONG_CHUNK = 64  # longer chunks are encoded each time
+_LONG_TAIL = 3
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -50,6 +52,8 @@ class _Chunks(dict):
         self.learn, self.old = learn, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > _LONG_CHUNK:
+            return self.learn(chunk)
         got = self.old.get(chunk)
         if got is None:
             got = self.learn(chunk)
@@ -83,7 +87,8 @@ class ChunkEncoder:
 
     def _learn(self, chunk: str, lead: str) -> bytes:
         core = chunk.rstrip(",.")
-        if not core.isalpha() or not (core.isascii() or max(core) <= "\xff"):
+        plain = core.isalpha() and (core.isascii() or max(core) <= "\xff")
+        if not plain or len(chunk) - len(core) > _LONG_TAIL:
             return self._whole(lead + chunk)
         if len(core) < len(chunk):
             tail = chunk[len(core) :]
