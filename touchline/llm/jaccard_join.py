@@ -11,13 +11,17 @@ work is to compute only the entries that can be links.
   n - ceil(t * n) + 1 of each, in any one order of the columns. The order is
   rare columns first; how common a column is comes from a hashed count table of
   fixed size over all documents (a hint: it changes the work, never the result).
+  A pair is met in its first common column; all its common columns are from
+  there on, so what the two rows have left there bounds its overlap. A meeting
+  whose bound is below what the sizes demand is discarded.
 * Product. In each column each row meets one row of its block and one of the
-  block below (the smallest row there), not all of them. These candidates are
-  checked exactly, and rows that are linked become one component. Then only
-  rows of different components can still add something: in each column, rows
-  outside the column's largest component meet all rows of other components.
-  No pair that could join two components is left out, and a column that very
-  many near copies share costs about as many pairs as it has rows.
+  block below (the one with the column nearest to its front, so with the fewest
+  columns of its own), not all of them. These candidates are checked exactly,
+  and rows that are linked become one component. Then only rows of different
+  components can still add something: in each column, rows outside the column's
+  largest component meet all rows of other components. No pair that could join
+  two components is left out, and a column that very many near copies share
+  costs about as many pairs as it has rows.
 * Check. The columns are cut into CELLS blocks by hash. A pair's overlap is at
   most the sum over blocks of the smaller row's count there; pairs below the
   bound that their sizes demand are discarded on these counts alone. For the
@@ -193,28 +197,31 @@ def jaccard_components(
     )
     # block of a row: sizes of a link are in the same block or in neighbours
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    entries = classes.select(F.explode("prefix").alias("col"), "node", "n", block.alias("block"))
+    entries = classes.select(F.posexplode("prefix").alias("pos", "col"), "node", "n", block.alias("block"))
     shared = entries.groupBy("col").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     shared = staged(entries.join(shared.select("col"), "col", "left_semi"), "jaccard-entries")
 
-    def close(n: str, m: str):
-        return (F.col(n) * num <= F.col(m) * den) & (F.col(m) * num <= F.col(n) * den)
+    def close():
+        """Sizes of a link, and enough columns left from the common one on."""
+        n, m = F.col("n"), F.col("m")
+        left = F.least(n - F.col("pos"), m - F.col("at"))
+        return (n * num <= m * den) & (m * num <= n * den) & (left * (num + den) >= (n + m) * num)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    pivot = shared.groupBy("col", "block").agg(F.min(F.struct("n", "node")).alias("p"))
+    pivot = shared.groupBy("col", "block").agg(F.min(F.struct("pos", "n", "node")).alias("p"))
     pivot = pivot.select(
         "col", F.explode(F.array("block", F.col("block") + 1)).alias("block"),
-        F.col("p.n").alias("m"), F.col("p.node").alias("other"),
+        F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.node").alias("other"),
     )
-    first = shared.join(pivot, ["col", "block"]).where((F.col("node") != F.col("other")) & close("n", "m"))
+    first = shared.join(pivot, ["col", "block"]).where((F.col("node") != F.col("other")) & close())
     first = staged(ordered(first), "jaccard-pairs")
     links = _verified(first, classes, docs, k, num, den)
 
     part = connected_components(links)
     known = shared.join(part, "node", "left").select(
-        "col", "node", "n", "block", F.coalesce("component", "node").alias("component")
+        "col", "pos", "node", "n", "block", F.coalesce("component", "node").alias("component")
     )
     known = staged(known, "jaccard-known")
     sizes = known.groupBy("col", "component").agg(F.count(F.lit(1)).alias("rows"))
@@ -223,12 +230,14 @@ def jaccard_components(
     ).where("parts > 1")
     rest = known.join(mixed, "col")
     outside = rest.where("component != main").select(
-        "col", "node", "n", "component", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)).alias("block")
+        "col", "pos", "node", "n", "component",
+        F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)).alias("block"),
     )
     other = rest.select(
-        "col", "block", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("to")
+        "col", "block", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"),
+        F.col("component").alias("to"),
     )
-    second = outside.join(other, ["col", "block"]).where((F.col("component") != F.col("to")) & close("n", "m"))
+    second = outside.join(other, ["col", "block"]).where((F.col("component") != F.col("to")) & close())
     second = staged(ordered(second).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     links = links.unionByName(_verified(second, classes, docs, k, num, den))
 
