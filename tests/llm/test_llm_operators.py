@@ -230,7 +230,7 @@ def lines_without(rows, min_words=3):
     """Text of each row after dedup, by plain means but for the line hashes."""
     place, sims = {}, {}
     for number, (id_, t) in enumerate(rows):
-        for line, piece, *_, sim in zip(*line_dedup.line_units((t or "").encode(), min_words)):
+        for _, line, piece, *_, sim in zip(*line_dedup.line_units([(t or "").encode()], min_words)):
             norm = line_dedup._unit_text((t or "").encode(), line, piece)
             place.setdefault(norm, []).append((id_ is None, id_ or 0, int(line), int(piece), t))
             sims[norm] = int(sim)
@@ -254,7 +254,7 @@ def lines_without(rows, min_words=3):
     out = Counter()
     for id_, t in rows:
         drop = gone.get((id_ is None, id_ or 0, t), set())
-        out[(id_, line_dedup.without_units(t, list(drop)) if drop else t, len(drop))] += 1
+        out[(id_, line_dedup.without_pieces(t, list(drop)) if drop else t, len(drop))] += 1
     return out
 
 
@@ -285,6 +285,21 @@ def test_line_dedup_long_line_in_pieces(spark):
     assert got[1].text == a and got[2].text == tail
 
 
+def test_units_of_many_texts_are_those_of_each(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    together = list(zip(*line_dedup.line_units(texts, 1)))
+    alone = [(i, *u[1:]) for i, t in enumerate(texts) for u in zip(*line_dedup.line_units([t], 1))]
+    assert together == alone
+
+
+def test_simhash_is_the_majority():
+    words = np.random.default_rng(2).integers(0, 2**63, 50, dtype=np.int64).view(np.uint64)
+    got = line_dedup.simhash(words, np.array([0, 7, 30]))
+    for value, a, b in zip(got.tolist(), [0, 7, 30], [7, 30, 50]):
+        for bit in range(64):
+            assert (value >> bit & 1) == (2 * sum(int(w) >> bit & 1 for w in words[a:b]) > b - a)
+
+
 def test_simhash_blocks_miss_no_pair():
     import random
 
