@@ -9,7 +9,7 @@ work is to compute only the entries that can be links.
   the threshold within a link, so a block meets only itself and the next one.
 * Columns. For a link, the two sets must share a column among the first
   n - ceil(t * n) + 1 of each, in any one order of the columns. The order is
-  rare columns first; how common a column is comes from a hashed count table of
+  rare columns first; how common a column is comes from hashed count tables of
   fixed size over all documents (a hint: it changes the work, never the result).
   A pair is met in its first common column; all its common columns are from
   there on, so what the two rows have left there bounds its overlap. A meeting
@@ -47,8 +47,9 @@ from touchline.llm.common import connected_components, mix64, shingle_hashes, st
 from touchline.llm.tokens import slices
 
 CELLS = 64
-HINT_BITS = 22  # columns of the count table: 4 MB as the hint each task gets
-HINT_LEAST = 8  # times the mean count (at least this often) a split must see a column
+HINT_BITS = 24  # columns of the count table: 16 MB as the hint each task gets
+HINT_LEAST = 8  # the least count of a common column ...
+HINT_NOISE = 4  # ... and how many times the mean count it must have
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -66,23 +67,25 @@ def signature(grams: np.ndarray) -> int:
 
 def _common_columns(docs: DataFrame, k: int) -> np.ndarray:
     """How common each hashed column is, as the logarithm of its count; 0 for
-    all that no split saw often. Each split reports its frequent columns only."""
+    the others. A split reports the columns that it has seen more than once; a
+    column is common if the sum of its reports stands out from the mean."""
     bits = HINT_BITS
 
     def count(batches):
-        table, total = np.zeros(1 << bits, dtype=np.int32), 0
+        table = np.zeros(1 << bits, dtype=np.int32)
         for b in slices(batches):
             for text in b.column(0).to_pylist():
-                grams = shingle_set(text, k)
-                total += len(grams)
-                np.add.at(table, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
-        often = np.flatnonzero(table >= HINT_LEAST * max(1, total >> bits))
+                np.add.at(table, (shingle_set(text, k) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        often = np.flatnonzero(table >= 2)
         yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(table[often].astype(np.int64))], ["c", "n"])
 
     rows = docs.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    rows = staged(rows, "jaccard-columns")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     level = np.zeros(1 << bits, dtype=np.uint8)
-    for c, n in rows.toLocalIterator():  # at most 2 ** HINT_BITS rows of two numbers
-        level[c] = max(1, int(n).bit_length())
+    common = rows.where(F.col("n") >= max(HINT_LEAST, HINT_NOISE * total / (1 << bits)))
+    for c, n in common.toLocalIterator():  # at most 2 ** HINT_BITS / HINT_NOISE rows of two numbers
+        level[c] = int(n).bit_length()
     return level
 
 
