@@ -30,9 +30,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
 from touchline.llm.common import staged
-from touchline.llm.tokens import slices, token_ids
+from touchline.llm.tokens import ID_BYTES, slices, token_ids
 
 
 def best_fill(counts: dict[int, int], gap: int) -> dict[int, int]:
@@ -207,6 +208,12 @@ def _ranks(lengths: DataFrame, window: int) -> DataFrame:
     )
 
 
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that each id of the vocabulary and the end take: 2 or 4."""
+    largest = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()])
+    return 2 if largest < 1 << 16 else ID_BYTES
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -217,7 +224,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset,
     ids (binary, little-endian unsigned 32-bit)."""
-    tokens = staged(token_ids(docs, tokenizer_path, id_col, text_col, end_id, width=2), "pack-ids")
+    width = id_width(tokenizer_path, end_id)
+    tokens = staged(token_ids(docs, tokenizer_path, id_col, text_col, end_id, width=width), "pack-ids")
     lengths = tokens.select("row", "n_tokens")
     rest = (F.col("n_tokens") % window).alias("rest")
     # at most `window` rows
@@ -230,7 +238,7 @@ def pack(
         for b in slices(batches):
             out = [[] for _ in range(7)]
             for id_, n, ids, rank, before in zip(*(c.to_pylist() for c in b.columns)):
-                wide = np.frombuffer(ids, dtype="<u2").astype("<u4")
+                wide = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
                 full = n // window
                 pieces = [(i * window, window, sequences + before + i, 0) for i in range(full)]
                 if n % window:
