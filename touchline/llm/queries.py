@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm import language
+from touchline.llm.collocations import collocations
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.jaccard_join import jaccard_components
@@ -89,6 +90,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir)).drop("kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
     "language_id_pages": language_id_pages,
 }
 
