@@ -94,15 +94,15 @@ def test_dense_and_sparse_tiles_agree():
     rnd = np.random.default_rng(3)
     keys = C.mix64(np.arange(1, 6001, dtype=np.uint64))
     full = np.full(1 << (C.MAP_BITS - 6), np.uint64(0xFFFFFFFFFFFFFFFF))
-    ranked = C.Ranked(keys[: C.HEAD], keys[: C.HEAD], full)
-    tiles, want = C.Tiles(ranked, ranked, 1), Counter()
+    ranked = C.Ranked(keys[: C.HEAD], full)
+    tiles, want = C.Tiles(ranked, ranked), Counter()
     for _ in range(3):
         a, b = (keys[np.minimum(rnd.zipf(1.3, 200_000) - 1, 5999)] for _ in range(2))
-        tiles.add(a, b, b)
+        tiles.add(a, b)
         want.update(zip(a.tolist(), b.tolist()))
     assert tiles.dense and tiles.sparse.size
     got = Counter()
-    for _, n, left, right, _ in [*tiles.cells(), *tiles.sparse.take()]:
+    for n, left, right in [*tiles.cells(), *(x[1:] for x in tiles.sparse.take())]:
         for x, y, m in zip(left.tolist(), right.tolist(), n.tolist()):
             got[x, y] += m
     assert got == want

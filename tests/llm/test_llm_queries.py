@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_registered():
     found = entry.queries()
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in found}
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in found}
     assert found["pipeline"] is corpus_pipeline.run
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
@@ -33,9 +33,10 @@ def test_matches_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs_over_the_whole_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    key = "page_id" if name.endswith("pages") else "doc_id"
-    if key in out.columns:
-        table = "pages" if key == "page_id" else "documents"
+    tables = {"doc_id": "documents", "page_id": "pages", "conv_id": "conversations"}
+    key = next((c for c in tables if c in out.columns), None)
+    if key:
+        table = tables[key]
         want = spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct()
         assert out.select(key).distinct().exceptAll(want).count() == 0
         assert out.select(key).distinct().count() == want.count()

@@ -47,7 +47,7 @@ FILL = 16  # a tile is an array once a batch holds a pair for each FILL cells
 MAP_BITS = 26
 SALTS = 64
 _SEG = 1 << 20  # bytes hashed at a time
-_HOLD = 1 << 20  # entries of a list that a task holds before it gives them out
+_HOLD = 1 << 18  # entries of a list that a task holds before it gives them out
 _BATCH = 1 << 16  # rows of an output batch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, dtype=np.uint8)
@@ -127,7 +127,8 @@ def segments(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[Wo
 
 
 class Coo:
-    """A growing list of coordinates with counts, kept sorted and merged."""
+    """A growing list of coordinates with counts, kept sorted and merged. One
+    key is one coordinate; `more` follows from it."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -167,9 +168,9 @@ class Coo:
 class Ranked:
     """The most frequent units by rank, and the bit map of all frequent ones."""
 
-    def __init__(self, keys: np.ndarray, last: np.ndarray, bits: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, bits: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys, self.last, self.bits = keys, last, bits
+        self.keys, self.bits = keys, bits
         self.sorted, self.rank = keys[order], order
 
     def frequent(self, keys: np.ndarray) -> np.ndarray:
@@ -187,12 +188,12 @@ class Ranked:
 class Tiles:
     """Counts of (left unit, next word) pairs."""
 
-    def __init__(self, left: Ranked, word: Ranked, level: int) -> None:
-        self.left, self.word, self.level = left, word, level
+    def __init__(self, left: Ranked, word: Ranked) -> None:
+        self.left, self.word = left, word
         self.dense: dict[int, np.ndarray] = {}
         self.sparse = Coo()
 
-    def add(self, left: np.ndarray, right: np.ndarray, tail: np.ndarray) -> None:
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
         a, b = self.left.number(left), self.word.number(right)
         both = (a < HEAD) & (b < HEAD)
         tile = np.where(both, (a // SIDE) * (HEAD // SIDE) + b // SIDE, -1)
@@ -207,19 +208,18 @@ class Tiles:
             # a cell's count in one task stays far below 2**31 words
             table = self.dense.setdefault(int(t), np.zeros(SIDE * SIDE, dtype=np.int32))
             table += np.bincount(cell[here], minlength=SIDE * SIDE).astype(np.int32)
-        left, right, tail = left[thin], right[thin], tail[thin]
-        self.sparse.add(joined(left, right), np.ones(len(left), dtype=np.int64), left, right, tail)
+        left, right = left[thin], right[thin]
+        self.sparse.add(joined(left, right), np.ones(len(left), dtype=np.int64), left, right)
 
     def cells(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(count, left, right) of the dense tiles."""
         for t, table in self.dense.items():
             at = np.flatnonzero(table)
-            a = (t // (HEAD // SIDE)) * SIDE + at // SIDE
-            b = (t % (HEAD // SIDE)) * SIDE + at % SIDE
-            left, right = self.left.keys[a], self.word.keys[b]
-            tail = right if self.level == 1 else joined(self.left.last[a], right)
-            out = (joined(left, right), table[at].astype(np.int64), left, right, tail)
             for i in range(0, len(at), _BATCH):
-                yield tuple(x[i : i + _BATCH] for x in out)
+                some = at[i : i + _BATCH]
+                a = (t // (HEAD // SIDE)) * SIDE + some // SIDE
+                b = (t % (HEAD // SIDE)) * SIDE + some % SIDE
+                yield table[some].astype(np.int64), self.left.keys[a], self.word.keys[b]
 
 
 def _record(rows: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
@@ -258,17 +258,15 @@ def _words(texts: DataFrame) -> DataFrame:
     return staged(rows.groupBy("lang", "key", "word").agg(F.sum("n").alias("f")), "phrase-words")
 
 
-def _phrases(texts: DataFrame, left: Ranked, word: Ranked, level: int, name: str, least: int) -> DataFrame:
-    """(key, left, right, tail, f) of the frequent phrases of level + 1 words:
-    keys of the whole, of all but the last word, of the last word and of all but
-    the first word."""
-    context = texts.sparkSession.sparkContext
-    sent = context.broadcast((left, word))
+def _phrases(texts: DataFrame, left: Ranked, word: Ranked, level: int, least: int) -> DataFrame:
+    """(left, right, f) of the frequent phrases of level + 1 words: keys of all
+    but the last word and of the last word."""
+    sent = texts.sparkSession.sparkContext.broadcast((left, word))
 
     def count(batches):
-        names = ["key", "n", "left", "right", "tail"]
+        names = ["n", "left", "right"]
         units, words = sent.value
-        tiles = Tiles(units, words, level)
+        tiles = Tiles(units, words)
         for w, _, _ in segments(batches, level):
             n = len(w.keys) - level
             if n <= 0:
@@ -276,37 +274,45 @@ def _phrases(texts: DataFrame, left: Ranked, word: Ranked, level: int, name: str
             here = np.arange(n) + level >= w.given
             for i in range(1, level + 1):
                 here &= ~w.first[i : i + n]
-            if level == 1:
-                a, right = w.keys[:n], w.keys[1:]
-                tail = right
-                here &= words.frequent(a) & words.frequent(right)
-            else:
-                pair = joined(w.keys[:-1], w.keys[1:])
-                a, tail, right = pair[:n], pair[1:], w.keys[2:]
-                here &= units.frequent(a) & units.frequent(tail)
-            tiles.add(a[here], right[here], tail[here])
+            unit = w.keys if level == 1 else joined(w.keys[:-1], w.keys[1:])
+            often = units.frequent(unit)
+            here &= often[:n] & often[1 : n + 1]  # all but the last word, all but the first
+            tiles.add(unit[:n][here], w.keys[level:][here])
             if tiles.sparse.full():
-                for rows in tiles.sparse.take():
+                for _, *rows in tiles.sparse.take():
                     yield _record(rows, names)
-        for rows in tiles.sparse.take():
+        for _, *rows in tiles.sparse.take():
             yield _record(rows, names)
         for rows in tiles.cells():
             yield _record(rows, names)
 
-    rows = texts.mapInArrow(count, "key long, n long, left long, right long, tail long")
-    out = rows.groupBy("key", "left", "right", "tail").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return staged(out, name)
+    # a task's rows are summed already: they are dealt out as they are
+    rows = texts.mapInArrow(count, "n long, left long, right long").repartition("left", "right")
+    return rows.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
-def _ranked(frequent: DataFrame, last: str) -> Ranked:
+def _with_key(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """The rows with the key of the phrase of two parts."""
+    names = [*rows.columns, name]
+    at = [names.index(c) for c in (left, right)]
+
+    def add(batches):
+        for b in batches:
+            a, z = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in at)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(a, z).view(np.int64))], names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(add, f"{kinds}, {name} long")
+
+
+def _ranked(frequent: DataFrame) -> Ranked:
     """At most HEAD units by frequency, and the bit map: at most 2**MAP_BITS bits."""
-    top = frequent.orderBy(F.desc("f"), "key", last).limit(HEAD).select("key", F.col(last).alias("last")).toArrow()
+    top = frequent.orderBy(F.desc("f"), "key").limit(HEAD).select("key").toArrow()
     slot, bit = F.shiftrightunsigned("key", 64 - MAP_BITS + 6), f"shiftrightunsigned(key, {64 - MAP_BITS}) & 63L"
     slots = frequent.groupBy(slot.alias("slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} as int)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
     bits[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
-    keys, ends = (top.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in range(2))
-    return Ranked(keys, ends, bits)
+    return Ranked(top.column("key").to_numpy().astype(np.int64).view(np.uint64), bits)
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -330,9 +336,12 @@ def collocations(
     words = _words(texts)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= least)
-    word_rank = _ranked(words, "key")
-    pairs = _phrases(texts.select("salt", "text"), word_rank, word_rank, 1, "phrase-pairs", least)
-    triples = _phrases(texts.select("salt", "text"), _ranked(pairs, "right"), word_rank, 2, "phrase-triples", least)
+    word_rank = _ranked(words)
+    pairs = _phrases(texts.select("salt", "text"), word_rank, word_rank, 1, least)
+    pairs = staged(_with_key(pairs, "left", "right", "key"), "phrase-pairs")
+    triples = staged(_phrases(texts.select("salt", "text"), _ranked(pairs), word_rank, 2, least), "phrase-triples")
+    front = pairs.select(F.col("key").alias("left"), F.col("left").alias("w1"), F.col("right").alias("w2"), F.col("f").alias("f12"))
+    triples = staged(_with_key(triples.join(front, "left"), "w2", "right", "tail"), "phrase-triples")
 
     def word(number: int) -> DataFrame:
         return words.select(
@@ -350,11 +359,8 @@ def collocations(
         "lang", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"),
         _score("a", "f1", "f2").alias("score"),
     )
-    front = pairs.select(F.col("key").alias("left"), F.col("left").alias("w1"), F.col("f").alias("f12"))
-    back = pairs.select(
-        F.col("key").alias("tail"), F.col("left").alias("w2"), F.col("right").alias("w3"), F.col("f").alias("f23")
-    )
-    three = triples.select("left", "tail", F.col("f").alias("a")).join(front, "left").join(back, "tail")
+    back = pairs.select(F.col("key").alias("tail"), F.col("f").alias("f23"))
+    three = triples.withColumnsRenamed({"right": "w3", "f": "a"}).join(back, "tail")
     three = three.join(word(1), "w1").join(word(2), "w2").join(word(3), "w3")
     cut = lambda k, left, right: F.struct(
         _score("a", left, right).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm import language
 from touchline.llm.collocations import collocations
+from touchline.llm.conversation_repair import damage, repair_report
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.fingerprints import fingerprint_report
 from touchline.llm.jaccard_join import jaccard_components
@@ -94,6 +95,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
     "language_id_pages": language_id_pages,
 }
 
