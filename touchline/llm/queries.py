@@ -17,6 +17,7 @@ from touchline.llm.jaccard_join import jaccard_components
 from touchline.llm.line_dedup import line_dedup
 from touchline.llm.mixing import entropy_mix
 from touchline.llm.packing import pack
+from touchline.llm.simhash_pivots import simhash_components
 from touchline.llm.suffix_dedup import suffix_dedup
 from touchline.llm.token_counts import token_counts
 from touchline.llm.token_files import TokenFiles
@@ -99,6 +100,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_documents(spark, sf_dir), k=4, most=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_simhash": op13_simhash,
     "language_id_pages": language_id_pages,
 }
 
