@@ -26,7 +26,10 @@ and a pool that holds a third of them is a partial aggregate, never one task.
 The row-level `touchpoints` relation joins the pool statistics back on the id;
 there the NULL pool is spread over salted copies of its one row, and AQE splits
 other large ids. The range join of conversions and interactions is bucketed by
-the window's length: a conversion meets two buckets.
+the window's length: a conversion meets two buckets. The models use it for users
+of at most LIGHT conversions, so that an interaction meets no more than these;
+for heavier users they take each window's sums from pre-summed blocks of time
+(touchline.operators.interval), without pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from touchline.functions.params import session_id
 from touchline.functions.timefn import whole_minutes_between
 from touchline.operators.asof import bucket_of
+from touchline.operators.interval import interval_parts
 from touchline.plans.sessions import (
     ERAS,
     SID,
@@ -51,6 +55,8 @@ HALF_LIFE_DAYS = 7.0
 MINUTES_PER_DAY = 24 * 60
 POSITION_WEIGHTS = (0.4, 0.2, 0.4)
 NULL_POOL_SALTS = 64
+LIGHT = 256  # conversions of a user whose touchpoints are made as pairs
+PART_COLUMNS = ("transaction_id", "medium", "n", "rev", "w", "rev_w", "lo", "hi")
 
 MODEL_COLUMNS = (
     "medium",
@@ -179,6 +185,75 @@ def touch_pairs(
     )
 
 
+def _pair_parts(pairs: DataFrame) -> DataFrame:
+    """Touchpoints as rows of PART_COLUMNS."""
+    key = _order_key(pairs)
+    return pairs.select(
+        "transaction_id",
+        "medium",
+        F.lit(1).cast("long").alias("n"),
+        F.col("revenue").alias("rev"),
+        F.col("decay_weight").alias("w"),
+        (F.col("revenue") * F.col("decay_weight")).alias("rev_w"),
+        key.alias("lo"),
+        key.alias("hi"),
+    )
+
+
+def _block_parts(conv: DataFrame, inter: DataFrame, window_days: int, half_life_days: float) -> DataFrame:
+    """The same from the sums of blocks of time, no row a touchpoint."""
+    raw = "raw_medium" if "raw_medium" in inter.columns else "medium"
+    points = inter.select(
+        USER, "medium", F.col("session_start_us").alias("interaction_us"), SID, F.col(raw).alias("raw")
+    )
+    probes = conv.select(
+        USER, F.col(SID).alias("conversion_session_id"), "conversion_us", "revenue", "transaction_id"
+    )
+    parts = interval_parts(
+        probes, points, USER, "conversion_us", "interaction_us", window_days * MICROS_PER_DAY, "medium", (SID, "raw"),
+        half_life_days * MINUTES_PER_DAY,
+    )
+
+    def key(point: str) -> Column:
+        return F.struct(
+            F.col(f"{point}.interaction_us").alias("interaction_us"), USER, F.col(f"{point}.{SID}").alias(SID), "medium",
+            F.col(f"{point}.raw").alias("raw"), "conversion_session_id", "conversion_us", "revenue",
+        )
+
+    return parts.select(
+        "transaction_id",
+        "medium",
+        "n",
+        (F.col("revenue") * F.col("n")).alias("rev"),
+        F.col("weight").alias("w"),
+        (F.col("revenue") * F.col("weight")).alias("rev_w"),
+        key("first").alias("lo"),
+        key("last").alias("hi"),
+    )
+
+
+def touch_parts(
+    conv: DataFrame,
+    inter: DataFrame,
+    window_days: int = 30,
+    half_life_days: float = HALF_LIFE_DAYS,
+    light: int = LIGHT,
+) -> DataFrame:
+    """What the models need of the touchpoints, as rows of PART_COLUMNS to be
+    merged by (transaction_id, medium): numbers and sums add up, `lo` and `hi`
+    are the first and the last touch. A user of more than `light` conversions
+    gives rows of whole blocks of interactions, others one a touchpoint."""
+    # the mark uses every column, so that all uses of `conv` share its exchange
+    mark = F.max(F.xxhash64(*conv.columns))
+    heavy = conv.groupBy(USER).agg(F.count(F.lit(1)).alias("__n"), mark.alias("__mark"))
+    heavy = heavy.where((F.col("__n") > light) & F.col("__mark").isNotNull() & F.col(USER).isNotNull()).select(USER)
+    pairs = touch_pairs(conv.join(heavy, USER, "left_anti"), inter, window_days, half_life_days)
+    blocks = _block_parts(
+        conv.join(heavy, USER, "left_semi"), inter.join(heavy, USER, "left_semi"), window_days, half_life_days
+    )
+    return _pair_parts(pairs).unionByName(blocks)
+
+
 def with_pools(pairs: DataFrame) -> DataFrame:
     """Adds the statistics of each row's pool (rows of one transaction id):
     total_interactions, is_first, is_last, decay_total."""
@@ -263,16 +338,11 @@ def pool_credits(
     """Credit of each medium in each pool under the five models, one row per
     (transaction_id, medium): is_first, is_last, first_revenue, last_revenue and
     <model>_revenue, <model>_conversions for linear, position and decay.
-    `pairs` are rows of `touch_pairs` or `touchpoints`."""
+    `pairs` are rows of `touch_parts`, `touch_pairs` or `touchpoints`."""
     first_w, middle_w, last_w = (float(w) for w in position_weights)
-    key = _order_key(pairs)
-    parts = pairs.groupBy("transaction_id", "medium").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("revenue").alias("rev"),
-        F.sum("decay_weight").alias("w"),
-        F.sum(F.col("revenue") * F.col("decay_weight")).alias("rev_w"),
-        F.min(key).alias("lo"),
-        F.max(key).alias("hi"),
+    parts = pairs if set(PART_COLUMNS) <= set(pairs.columns) else _pair_parts(pairs)
+    parts = parts.groupBy("transaction_id", "medium").agg(
+        *[F.sum(c).alias(c) for c in ("n", "rev", "w", "rev_w")], F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     pool = Window.partitionBy("transaction_id")  # one row a medium
     parts = parts.select(
@@ -397,6 +467,21 @@ def compare_models_joined(tp: DataFrame) -> DataFrame:
 Dates = tuple[str | None, str | None]
 
 
+def attribution_inputs(
+    events: DataFrame,
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
+    era: str = "post",
+    conversion_event: str = "purchase",
+) -> tuple[DataFrame, DataFrame]:
+    """(conversions, interactions) of an export; a date of None is no bound."""
+    conv = conversions(shard_between(events, *conversion_dates), conversion_event)
+    current = attribution_sessions(shard_between(events, *session_dates), era)
+    history = session_history_first(shard_between(events, *history_dates))
+    return conv, interactions(current, history)
+
+
 def attribution_pairs(
     events: DataFrame,
     conversion_dates: Dates,
@@ -407,11 +492,24 @@ def attribution_pairs(
     conversion_event: str = "purchase",
     half_life_days: float = HALF_LIFE_DAYS,
 ) -> DataFrame:
-    """`touch_pairs` of an export; a date of None is no bound."""
-    conv = conversions(shard_between(events, *conversion_dates), conversion_event)
-    current = attribution_sessions(shard_between(events, *session_dates), era)
-    history = session_history_first(shard_between(events, *history_dates))
-    return touch_pairs(conv, interactions(current, history), window_days, half_life_days)
+    """`touch_pairs` of an export."""
+    conv, inter = attribution_inputs(events, conversion_dates, session_dates, history_dates, era, conversion_event)
+    return touch_pairs(conv, inter, window_days, half_life_days)
+
+
+def attribution_parts(
+    events: DataFrame,
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
+    era: str = "post",
+    window_days: int = 30,
+    conversion_event: str = "purchase",
+    half_life_days: float = HALF_LIFE_DAYS,
+) -> DataFrame:
+    """`touch_parts` of an export: what the models take."""
+    conv, inter = attribution_inputs(events, conversion_dates, session_dates, history_dates, era, conversion_event)
+    return touch_parts(conv, inter, window_days, half_life_days)
 
 
 def attribution_touchpoints(
@@ -443,7 +541,7 @@ def attribution_report(
     keep_all_media: bool = False,
 ) -> DataFrame:
     """The five-model comparison per medium."""
-    pairs = attribution_pairs(
+    parts = attribution_parts(
         events, conversion_dates, session_dates, history_dates, era, window_days, conversion_event, half_life_days
     )
-    return compare_models(pairs, position_weights, keep_all_media)
+    return compare_models(parts, position_weights, keep_all_media)

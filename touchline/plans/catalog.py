@@ -70,6 +70,10 @@ def _pairs(spark, sf_dir, era="post", days=TOUCH_WINDOW_DAYS) -> DataFrame:
     return A.attribution_pairs(_ev(spark, sf_dir), ALL, ALL, ALL, era, days)
 
 
+def _parts(spark, sf_dir, era="post", days=TOUCH_WINDOW_DAYS) -> DataFrame:
+    return A.attribution_parts(_ev(spark, sf_dir), ALL, ALL, ALL, era, days)
+
+
 def q_event_params(spark, sf_dir):
     return _ev(spark, sf_dir).select(
         "user_pseudo_id", "event_timestamp", "event_name",
@@ -141,11 +145,11 @@ def q_touchpoints(days):
 
 
 def q_model(fn):
-    return lambda spark, sf_dir: neutral(fn(_pairs(spark, sf_dir)))
+    return lambda spark, sf_dir: neutral(fn(_parts(spark, sf_dir)))
 
 
 def q_compare(era):
-    return lambda spark, sf_dir: neutral(A.compare_models(_pairs(spark, sf_dir, era)))
+    return lambda spark, sf_dir: neutral(A.compare_models(_parts(spark, sf_dir, era)))
 
 
 def q_compare_window(spark, sf_dir):
