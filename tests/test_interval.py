@@ -16,10 +16,14 @@ INTER = "user_pseudo_id string, ga_session_id bigint, session_start_us bigint, m
 def test_blocks_cover_a_range_once(spark):
     rnd = random.Random(2)
     rows = [(-5, 9), (0, 0), (3, 2), (7, 8), (0, 4096), (1, 4098)] + [(a := rnd.randrange(-3000, 3000), a + rnd.randrange(4098)) for _ in range(60)]
+    rows = list(dict.fromkeys(rows))
     df = spark.createDataFrame(rows, "low long, high long")
-    for r in df.select("low", "high", covering_blocks(F.col("low"), F.col("high"), 12).alias("b")).collect():
-        got = [x for b in r.b for x in range(b["__block"] << b["__level"], (b["__block"] + 1) << b["__level"])]
-        assert sorted(got) == list(range(r.low, r.high)) and len(r.b) <= 26
+    found = {r: [] for r in rows}
+    for r in covering_blocks(df, F.col("low"), F.col("high"), 12).collect():
+        found[r.low, r.high].append((r["__level"], r["__block"]))
+    for (low, high), blocks in found.items():
+        got = [x for level, b in blocks for x in range(b << level, (b + 1) << level)]
+        assert sorted(got) == list(range(low, high)) and len(blocks) <= 26
 
 
 @pytest.mark.parametrize("levels,half_life", [(0, 60.0), (3, 10080.0), (12, 10080.0), (12, 0.01)])

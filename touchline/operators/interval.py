@@ -37,17 +37,18 @@ RESTS = 60
 _KEYS = ("__level", "__block")
 
 
-def covering_blocks(low: Column, high: Column, levels: int) -> Column:
-    """An array of (level, block): the blocks that make up the buckets from
-    `low` to `high` - 1, where block b of a level is the buckets from
+def covering_blocks(rows: DataFrame, low: Column, high: Column, levels: int) -> DataFrame:
+    """The rows, each with (__level, __block) of the blocks that make up the
+    buckets from `low` to `high` - 1, where block b of a level is the buckets from
     b * 2**level on."""
-    found = []
-    for level in range(levels + 1):
-        start, end = -F.shiftright(-low, level), F.shiftright(high, level)
-        open_ = start < end
-        for take, block in ((F.pmod(start, F.lit(2)) == 1, start), (F.pmod(end, F.lit(2)) == 1, end - 1)):
-            found.append(F.when(open_ & take, F.struct(F.lit(level).alias("__level"), block.alias("__block"))))
-    return F.filter(F.array(*found), lambda b: b.isNotNull())
+    found = rows.select("*", low.alias("__low"), high.alias("__high"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level"))
+    found = found.select(
+        "*", F.expr("-shiftright(-__low, __level)").alias("__start"), F.expr("shiftright(__high, __level)").alias("__end")
+    ).where("__start < __end")
+    # an odd block at either side is no part of a larger one inside
+    odd = F.expr("array(if(pmod(__start, 2) = 1, __start, NULL), if(pmod(__end, 2) = 1, __end - 1, NULL))")
+    found = found.withColumn("__block", F.explode(odd)).where("__block IS NOT NULL")
+    return found.drop("__low", "__high", "__start", "__end")
 
 
 def _minute(at: Column) -> Column:
@@ -81,17 +82,14 @@ def interval_parts(
     low, high = bucket_of(F.col(at) - F.lit(span), width), bucket_of(F.col(at), width)
     edges = _edges(probes, points, by, at, span, low, high, half_life_minutes)
 
-    leveled = points.withColumn(
-        "b", F.explode(F.array(*[F.struct(F.lit(n).alias("__level"), F.shiftright("__bucket", n).alias("__block")) for n in range(levels + 1)]))
-    ).select(by, "__kind", "__at", "__point", "b.*")
-    scale = F.element_at(F.array(*[F.lit(width << n) for n in range(levels + 1)]), F.col("__level") + 1)
-    end = _minute((F.col("__block") + 1) * scale)
+    leveled = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    leveled = leveled.withColumn("__block", F.expr("shiftright(__bucket, __level)")).drop("__bucket")
+    end = _minute((F.col("__block") + 1) * F.expr(f"shiftleft({width}L, __level)"))
     leveled = leveled.withColumn("__w", F.pow(F.lit(0.5), (end - _minute(F.col("__at"))) / F.lit(half_life_minutes)))
     blocks = leveled.groupBy(by, "__kind", *_KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.sum("__w").alias("__sum"), F.min("__point").alias("first"), F.max("__point").alias("last")
     )
-    asked = probes.withColumn("b", F.explode(covering_blocks(low + 1, high, levels)))
-    asked = asked.select(*probes.columns, "b.*").join(blocks, [by, *_KEYS])
+    asked = covering_blocks(probes, low + 1, high, levels).join(blocks, [by, *_KEYS])
 
     # points of the same block and kind that are later in their minute
     part = MICROS_PER_MINUTE // RESTS
