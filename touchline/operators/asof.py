@@ -45,7 +45,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _B = "__asof_bucket"
-_TAG = "__asof_is_build"
+IS_BUILD = "__asof_is_build"
 _CNT = "__asof_cnt"
 
 
@@ -76,24 +76,45 @@ def asof_backward(
     count_col:   number of build rows with key <= probe key.
     """
     by = list(by)
-    values = list(values)
-    out = {v: (out or {}).get(v, v) for v in values}
-    bkey = build_key or key
-    payload = [c for c in probes.columns if c not in by]
     for c in by:
         probes, build = probes.filter(F.col(c).isNotNull()), build.filter(F.col(c).isNotNull())
-
-    probes_b = probes.withColumn(_B, bucket_of(F.col(key), bucket_width))
-    build_b = build.select(
+    build_rows = build.select(
         *by,
-        F.col(bkey).alias(key),
-        *[F.col(v).alias(f"__v_{v}") for v in values],
-    ).withColumn(_B, bucket_of(F.col(key), bucket_width))
-    stacked = (
-        probes_b.withColumn(_TAG, F.lit(0))
-        .unionByName(build_b.withColumn(_TAG, F.lit(1)), allowMissingColumns=True)
-        .repartition(*by, _B)
+        F.col(build_key or key).alias(key),
+        *[F.col(v).alias(value_column(v)) for v in values],
+    )
+    stacked = probes.withColumn(IS_BUILD, F.lit(0)).unionByName(
+        build_rows.withColumn(IS_BUILD, F.lit(1)), allowMissingColumns=True
     )
+    return asof_stacked(stacked, by, key, values, bucket_width, out, count_col)
+
+
+def value_column(value: str) -> str:
+    """The column that holds a build row's value in stacked rows."""
+    return f"__v_{value}"
+
+
+def asof_stacked(
+    stacked: DataFrame,
+    by: Sequence[str],
+    key: str,
+    values: Sequence[str],
+    bucket_width: int,
+    out: dict[str, str] | None = None,
+    count_col: str = "asof_matches",
+    bucket_col: str | None = None,
+) -> DataFrame:
+    """`asof_backward` of rows that are stacked already: probes (IS_BUILD = 0)
+    with `by`, key and any payload, build rows (IS_BUILD = 1) with `by`, key and a
+    `value_column` for each value. Callers that take both from one aggregate read
+    their input once. `bucket_col` keeps the bucket: the result is partitioned by
+    (`by`, bucket), so that an aggregate of these keys needs no shuffle."""
+    by = list(by)
+    values = list(values)
+    out = {v: (out or {}).get(v, v) for v in values}
+    held = {*by, IS_BUILD, *map(value_column, values)}
+    payload = [c for c in stacked.columns if c not in held]
+    stacked = stacked.withColumn(_B, bucket_of(F.col(key), bucket_width)).repartition(*by, _B)
 
     # level 1: inside a bucket
     w1 = (
@@ -105,15 +126,15 @@ def asof_backward(
         *by,
         _B,
         *payload,
-        _TAG,
+        IS_BUILD,
         *[F.last(f"__v_{v}", ignorenulls=True).over(w1).alias(f"__in_{v}") for v in values],
-        F.sum(_TAG).over(w1).alias("__in_cnt"),
-    ).filter(F.col(_TAG) == 0)
+        F.sum(IS_BUILD).over(w1).alias("__in_cnt"),
+    ).filter(F.col(IS_BUILD) == 0)
 
     # level 2: one summary row per (group, bucket). The mark of a bucket with
     # probes is a hash of their payload, so that this use needs the same
     # columns as level 1 and the exchange is shared
-    is_build = F.col(_TAG) == 1
+    is_build = F.col(IS_BUILD) == 1
     mark = F.max(F.when(~is_build, F.xxhash64(*payload))).alias("__probes")
     summary = stacked.groupBy(*by, _B).agg(
         *[
@@ -122,7 +143,7 @@ def asof_backward(
             ).alias(f"__v_{v}")
             for v in values
         ],
-        F.sum(_TAG).alias(_CNT),
+        F.sum(IS_BUILD).alias(_CNT),
         mark,
     )
 
@@ -146,6 +167,7 @@ def asof_backward(
         *payload,
         *[F.coalesce(F.col(f"__in_{v}"), F.col(f"__c_{v}")).alias(out[v]) for v in values],
         (F.col("__in_cnt") + F.coalesce(F.col("__c_cnt"), F.lit(0))).alias(count_col),
+        *([F.col(_B).alias(bucket_col)] if bucket_col else []),
     )
 
 

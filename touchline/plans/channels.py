@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.channels import SiteLists, default_channel_grouping
-from touchline.plans.sessions import SID, USER, filled_sessions
+from touchline.plans.sessions import BUCKET, SID, USER, filled_sessions, sessions_by
 
 NO_MEDIUM, NO_SOURCE, NO_CAMPAIGN = "(none)", "(direct)", "(not set)"
 
@@ -24,8 +24,9 @@ def session_channels(
     era: str = "post",
     history_days: int = 90,
     fix_push_rule: bool = False,
+    keep_bucket: bool = False,
 ) -> DataFrame:
-    filled = filled_sessions(events, start_date, end_date, era, history_days, with_campaign=True)
+    filled = filled_sessions(events, start_date, end_date, era, history_days, True, keep_bucket)
     channel = default_channel_grouping(
         F.coalesce(F.col("medium"), F.lit(NO_MEDIUM)),
         F.coalesce(F.col("src"), F.lit(NO_SOURCE)),
@@ -33,7 +34,8 @@ def session_channels(
         sites,
         fix_push_rule=fix_push_rule,
     )
-    return filled.select(USER, SID, "medium", "src", "campaign", channel.alias("channel"))
+    kept = [BUCKET] if keep_bucket else []
+    return filled.select(USER, SID, "medium", "src", "campaign", channel.alias("channel"), *kept)
 
 
 def channel_report(
@@ -45,9 +47,5 @@ def channel_report(
     history_days: int = 90,
     fix_push_rule: bool = False,
 ) -> DataFrame:
-    return (
-        session_channels(events, start_date, end_date, sites, era, history_days, fix_push_rule)
-        .groupBy("channel")
-        .agg(F.count_distinct(USER, SID).alias("sessions"))
-        .orderBy(F.desc("sessions"), F.asc("channel"))
-    )
+    rows = session_channels(events, start_date, end_date, sites, era, history_days, fix_push_rule, keep_bucket=True)
+    return sessions_by(rows, "channel").orderBy(F.desc("sessions"), F.asc("channel"))

@@ -17,15 +17,16 @@ Semantics kept from the original analysis:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.functions.params import session_id
 from touchline.functions.timefn import shift_date_key
-from touchline.operators.asof import asof_backward
+from touchline.operators.asof import IS_BUILD, asof_backward, asof_stacked, value_column
 from touchline.schema import SECONDS_PER_DAY, SYSTEM_EVENTS
 from touchline.sources.export import shard_between
 
 ERAS = ("post", "pre")
+BUCKET = "__session_bucket"
 USER = "user_pseudo_id"
 SID = "ga_session_id"
 
@@ -183,12 +184,58 @@ def last_non_direct(
 
 def sessions_by_medium(filled: DataFrame) -> DataFrame:
     """(medium, sessions) with distinct (user, session) counts, most first.
-    A NULL medium (direct) is its own group."""
-    return (
-        filled.groupBy("medium")
-        .agg(F.count_distinct(USER, SID).alias("sessions"))
-        .orderBy(F.desc("sessions"), F.asc_nulls_last("medium"))
+    A NULL medium (direct) is its own group. Rows that carry BUCKET are made
+    distinct where they lie, partitioned by user and bucket."""
+    return sessions_by(filled, "medium").orderBy(F.desc("sessions"), F.asc_nulls_last("medium"))
+
+
+def sessions_by(filled: DataFrame, label: str) -> DataFrame:
+    """(label, sessions): distinct (user, session) of each label."""
+    keys = [USER, SID, label, *([BUCKET] if BUCKET in filled.columns else [])]
+    return filled.select(*keys).distinct().groupBy(label).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+def session_state(
+    events: DataFrame, start_date: str | None, era: str = "post", with_campaign: bool = False
+) -> DataFrame:
+    """One row per (user, session) from one pass over the events: `current`, its
+    rows as of `current_sessions` among the events from `start_date` on, and
+    what `session_history_last_nonnull` tells of all of them (`history` rows:
+    0 where none counts). Sessions without user or id are left out."""
+    _check_era(era)
+    ts = F.col("event_timestamp")
+    name = F.col("event_name")
+    extra = [_campaign().alias("c")] if with_campaign else []
+    ev = events.select(
+        USER, session_id().alias(SID), ts, name, "event_date", _medium().alias("m"), _source().alias("s"),
+        _gclid().alias("g"), *extra,
+    ).filter(F.col(USER).isNotNull() & F.col(SID).isNotNull())
+    now = F.lit(True) if start_date is None else F.col("event_date") >= F.lit(start_date)
+    touch = F.coalesce(~name.isin(*SYSTEM_EVENTS), F.lit(False))
+    past = F.lit(True) if era == "post" else touch
+    m, s, g = F.col("m"), F.col("s"), F.col("g")
+    campaign = [F.col("c").alias("campaign")] if with_campaign else []
+    if era == "post":
+        row = F.struct(_cpc_if_clicked(g, m).alias("medium"), s.alias("src"), *campaign)
+        current = F.collect_set(F.when((name == "session_start") & now, row))
+    else:
+        current = F.min(F.when(touch & now, F.struct(ts, m, s, g, *campaign)))
+    state = ev.groupBy(USER, SID).agg(
+        current.alias("current"),
+        F.count_if(past).alias("history"),
+        F.max(F.when(past & m.isNotNull(), F.struct(ts, m)))["m"].alias("old_m"),
+        F.max(F.when(past & s.isNotNull(), F.struct(ts, s)))["s"].alias("old_src"),
+        F.min(F.when(past, F.struct(ts, g)))["g"].alias("old_g"),
     )
+    if era == "pre":
+        first = F.col("current")
+        row = F.struct(
+            _cpc_if_clicked(first["g"], first["m"]).alias("medium"), first["s"].alias("src"),
+            *([first["campaign"].alias("campaign")] if with_campaign else []),
+        )
+        state = state.withColumn("current", F.when(first.isNotNull(), F.array(row)))
+    old = _cpc_if_clicked(F.col("old_g"), F.col("old_m")).alias("old_medium")
+    return state.select(USER, SID, "current", "history", old, "old_src")
 
 
 def filled_sessions(
@@ -198,15 +245,40 @@ def filled_sessions(
     era: str = "post",
     history_days: int = 90,
     with_campaign: bool = False,
+    keep_bucket: bool = False,
+    bucket_seconds: int = SECONDS_PER_DAY,
 ) -> DataFrame:
     """Current sessions of [start, end] filled from the history of
     [start - history_days, end]; None is no bound. In era "post" the history reads every event;
-    in "pre" only interaction events."""
-    _check_era(era)
-    current = current_sessions(shard_between(events, start_date, end_date), era, with_campaign)
-    hist_events = shard_between(events, shift_date_key(start_date, -history_days), end_date)
-    history = session_history_last_nonnull(hist_events, exclude_system=(era == "pre"))
-    return last_non_direct(current, history)
+    in "pre" only interaction events. Equal to `last_non_direct` of
+    `current_sessions` and `session_history_last_nonnull`, but both come from one
+    `session_state`, so the events are read and aggregated once. `keep_bucket`
+    adds BUCKET."""
+    span = shard_between(events, shift_date_key(start_date, -history_days), end_date)
+    state = session_state(span, start_date, era, with_campaign)
+    names = ["medium", "src", *(["campaign"] if with_campaign else [])]
+    values = ["old_medium", "old_src"]
+    null = F.lit(None).cast("string")
+
+    def stacked_row(is_build: int, fields: dict) -> Column:
+        return F.struct(
+            F.lit(is_build).alias(IS_BUILD),
+            *[fields.get(c, null).alias(c) for c in (*names, *map(value_column, values))],
+        )
+
+    probes = F.transform(F.coalesce("current", F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")),
+                         lambda c: stacked_row(0, {n: c[n] for n in names}))
+    build = F.filter(
+        F.array(stacked_row(1, {value_column(v): F.col(v) for v in values})), lambda _: F.col("history") > 0
+    )
+    rows = state.select(USER, SID, F.inline(F.concat(probes, build)))
+    matched = asof_stacked(
+        rows, [USER], SID, values, bucket_seconds, count_col="__history_rows", bucket_col=BUCKET if keep_bucket else None
+    ).filter(F.col("__history_rows") > 0)
+    return matched.select(
+        USER, SID, *[F.coalesce(c, f"old_{c}").alias(c) for c in ("medium", "src")],
+        *(["campaign"] if with_campaign else []), *([BUCKET] if keep_bucket else []),
+    )
 
 
 def traffic_report(
@@ -217,4 +289,4 @@ def traffic_report(
     history_days: int = 90,
 ) -> DataFrame:
     """Sessions per medium after last-non-direct fill."""
-    return sessions_by_medium(filled_sessions(events, start_date, end_date, era, history_days))
+    return sessions_by_medium(filled_sessions(events, start_date, end_date, era, history_days, keep_bucket=True))
