@@ -22,8 +22,9 @@ def test_blocks_cover_a_range_once(spark):
     for r in covering_blocks(df, F.col("low"), F.col("high"), 12).collect():
         found[r.low, r.high].append((r["__level"], r["__block"]))
     for (low, high), blocks in found.items():
-        got = [x for level, b in blocks for x in range(b << level, (b + 1) << level)]
-        assert sorted(got) == list(range(low, high)) and len(blocks) <= 26
+        got = [x for level, b in blocks if level >= 0 for x in range(b << level, (b + 1) << level)]
+        assert sorted(got) == list(range(low + 1, high)) and len(got) <= 4098 and len(blocks) <= 28
+        assert sorted(b for level, b in blocks if level < 0) == sorted({low, high})
 
 
 @pytest.mark.parametrize("levels,half_life", [(0, 60.0), (3, 10080.0), (12, 10080.0), (12, 0.01)])

@@ -8,8 +8,12 @@ lowercased first; user-added sites are not.
 The social list (about 600 entries) is not stated here and has no default: the
 caller passes it, or reads the vendor's list with `read_site_lists`.
 
+Site lists of any length can be a table instead (`site_table`, one row a site
+with a flag for each category): `with_channel` joins it on the lower-cased source,
+and its size decides how (nothing is collected).
+
 Deviation on purpose: a NULL medium, source or campaign yields NULL instead of
-failing the whole job.
+failing the whole job (`strict` raises, as the original does).
 """
 
 from __future__ import annotations
@@ -193,6 +197,48 @@ def read_site_lists(spark: SparkSession, path: str, base: SiteLists | None = Non
     return site_lists(rows, base)
 
 
+def site_table(rows: DataFrame) -> DataFrame:
+    """(site, shopping, search, social, video) from (source, category) rows, one
+    row a site; categories as for `site_lists`. A row that can't be placed raises
+    when the table is read."""
+    first, second = rows.columns[:2]
+    name = F.regexp_replace(F.lower(F.trim(F.col(second))), "^source_category_", "")
+    bad = F.col(first).isNull() | (F.col(first) == "") | name.isNull() | ~name.isin(*CATEGORIES)
+    told = F.concat(F.lit("not a (source, category) row: "), F.to_json(F.struct(F.col(first), F.col(second))))
+    site = F.when(bad, F.raise_error(told)).otherwise(F.trim(F.col(first)))
+    return rows.select(site.alias("site"), name.alias("name")).groupBy("site").agg(
+        *[F.max(F.col("name") == c).alias(c) for c in CATEGORIES]
+    )
+
+
+def site_rows(spark: SparkSession, sites: SiteLists) -> DataFrame:
+    """(source, category) rows of lists held in the program."""
+    rows = [(s, c) for c in CATEGORIES for s in sites.get(c)]
+    return spark.createDataFrame(rows, "source string, category string")
+
+
+def with_channel(
+    df: DataFrame,
+    medium: Column | str,
+    source: Column | str,
+    campaign: Column | str,
+    sites: DataFrame,
+    name: str = "channel",
+    fix_push_rule: bool = False,
+    strict: bool = False,
+) -> DataFrame:
+    """The rows with their channel, the sites taken from a `site_table` by a
+    left join on the lower-cased source: broadcast or shuffled by its measured
+    size, a frequent source split by AQE. Equal to `default_channel_grouping` with
+    the same lists."""
+    flags = sites.select(F.col("site").alias("__site"), *[F.col(c).alias(f"__{c}") for c in CATEGORIES])
+    rows = df.withColumn("__source", F.lower(_col(source)))
+    joined = rows.join(flags, F.col("__source") == F.col("__site"), "left")
+    known = {c: F.coalesce(F.col(f"__{c}"), F.lit(False)) for c in CATEGORIES}
+    channel = _channel(_col(medium), _col(source), _col(campaign), known.__getitem__, fix_push_rule, strict)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], channel.alias(name))
+
+
 # --- Column rendering ---------------------------------------------------------
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -230,16 +276,14 @@ def default_channel_grouping(
     social_sites_add: Column | None = None,
     video_sites_add: Column | None = None,
     fix_push_rule: bool = False,
+    strict: bool = False,
 ) -> Column:
     """Channel name for each row. Site membership compiles to hash-set IN
     lookups inside the generated code (the lists are small and fixed). The
     `*_sites_add` arguments are array columns of user sites per row (NULL =
-    none). fix_push_rule drops the literal quotes of the push rule's pattern."""
-    f = {
-        "medium": F.lower(_col(medium)),
-        "source": F.lower(_col(source)),
-        "campaign": F.lower(_col(campaign)),
-    }
+    none). fix_push_rule drops the literal quotes of the push rule's pattern;
+    strict raises on a NULL input."""
+    low = F.lower(_col(source))
     added = {
         "shopping": shopping_sites_add,
         "search": search_sites_add,
@@ -249,12 +293,20 @@ def default_channel_grouping(
 
     def site(cat: str) -> Column:
         items = sites.get(cat)
-        known = f["source"].isin(*items) if items else F.lit(False)
+        known = low.isin(*items) if items else F.lit(False)
         if added[cat] is not None:
-            known = known | F.coalesce(F.array_contains(added[cat], f["source"]), F.lit(False))
+            known = known | F.coalesce(F.array_contains(added[cat], low), F.lit(False))
         return known
 
-    out = F.when(f["medium"].isNull() | f["source"].isNull() | f["campaign"].isNull(), F.lit(None))
+    return _channel(_col(medium), _col(source), _col(campaign), site, fix_push_rule, strict)
+
+
+def _channel(
+    medium: Column, source: Column, campaign: Column, site: Callable[[str], Column], fix_push_rule: bool, strict: bool
+) -> Column:
+    f = {"medium": F.lower(medium), "source": F.lower(source), "campaign": F.lower(campaign)}
+    missing = F.raise_error(F.lit("medium, source or campaign is NULL")) if strict else F.lit(None)
+    out = F.when(f["medium"].isNull() | f["source"].isNull() | f["campaign"].isNull(), missing)
     for label, cond in rules(fix_push_rule):
         out = out.when(_render_column(cond, f, site), F.lit(label))
     fallback = F.concat(

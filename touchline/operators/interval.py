@@ -34,21 +34,25 @@ from touchline.schema import MICROS_PER_MINUTE
 
 LEVELS = 12
 RESTS = 60
+EDGE = -1  # the level of single points
 _KEYS = ("__level", "__block")
 
 
 def covering_blocks(rows: DataFrame, low: Column, high: Column, levels: int) -> DataFrame:
     """The rows, each with (__level, __block) of the blocks that make up the
-    buckets from `low` to `high` - 1, where block b of a level is the buckets from
-    b * 2**level on."""
-    found = rows.select("*", low.alias("__low"), high.alias("__high"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level"))
+    buckets between `low` and `high`, where block b of a level is the buckets from
+    b * 2**level on; and on level EDGE the buckets `low` and `high` themselves."""
+    found = rows.select(
+        "*", low.alias("__low"), high.alias("__high"), F.explode(F.sequence(F.lit(EDGE), F.lit(levels))).alias("__level")
+    )
     found = found.select(
-        "*", F.expr("-shiftright(-__low, __level)").alias("__start"), F.expr("shiftright(__high, __level)").alias("__end")
-    ).where("__start < __end")
+        "*", F.expr("-shiftright(-(__low + 1), __level)").alias("__start"), F.expr("shiftright(__high, __level)").alias("__end")
+    )
     # an odd block at either side is no part of a larger one inside
-    odd = F.expr("array(if(pmod(__start, 2) = 1, __start, NULL), if(pmod(__end, 2) = 1, __end - 1, NULL))")
-    found = found.withColumn("__block", F.explode(odd)).where("__block IS NOT NULL")
-    return found.drop("__low", "__high", "__start", "__end")
+    odd = "array(if(pmod(__start, 2) = 1, __start, NULL), if(pmod(__end, 2) = 1, __end - 1, NULL))"
+    edges = f"if(__level = {EDGE}, array_distinct(array(__low, __high)), {odd})"
+    found = found.where(f"__level = {EDGE} OR __start < __end").withColumn("__block", F.explode(F.expr(edges)))
+    return found.where("__block IS NOT NULL").drop("__low", "__high", "__start", "__end")
 
 
 def _minute(at: Column) -> Column:
@@ -80,23 +84,27 @@ def interval_parts(
         F.struct(F.col(point_at), *[F.col(c) for c in order]).alias("__point"), bucket_of(F.col(point_at), width).alias("__bucket"),
     )
     low, high = bucket_of(F.col(at) - F.lit(span), width), bucket_of(F.col(at), width)
-    edges = _edges(probes, points, by, at, span, low, high, half_life_minutes)
-
-    leveled = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    leveled = leveled.withColumn("__block", F.expr("shiftright(__bucket, __level)")).drop("__bucket")
+    edge = F.col("__level") == EDGE
+    leveled = points.withColumn("__level", F.explode(F.sequence(F.lit(EDGE), F.lit(levels))))
+    block = F.expr(f"if(__level = {EDGE}, __bucket, shiftright(__bucket, __level))")
+    leveled = leveled.withColumn("__block", block).drop("__bucket")
     end = _minute((F.col("__block") + 1) * F.expr(f"shiftleft({width}L, __level)"))
-    leveled = leveled.withColumn("__w", F.pow(F.lit(0.5), (end - _minute(F.col("__at"))) / F.lit(half_life_minutes)))
-    blocks = leveled.groupBy(by, "__kind", *_KEYS).agg(
+    ago = F.pow(F.lit(0.5), (end - _minute(F.col("__at"))) / F.lit(half_life_minutes))
+    leveled = leveled.withColumn("__w", F.when(edge, F.lit(0.0)).otherwise(ago))
+    # the single points of an edge bucket stay single
+    blocks = leveled.groupBy(by, "__kind", *_KEYS, F.when(edge, F.col("__point")).alias("__single")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("__w").alias("__sum"), F.min("__point").alias("first"), F.max("__point").alias("last")
-    )
-    asked = covering_blocks(probes, low + 1, high, levels).join(blocks, [by, *_KEYS])
+    ).drop("__single")
+    asked = covering_blocks(probes, low, high, levels).join(blocks, [by, *_KEYS])
+    met = F.col(f"first.{point_at}")
+    asked = asked.where(~edge | ((met <= F.col(at)) & (met > F.col(at) - F.lit(span))))
 
     # points of the same block and kind that are later in their minute
     part = MICROS_PER_MINUTE // RESTS
     cut = [by, "__kind", *_KEYS, "__part"]
     rest = _rest(F.col(at))
     asked = asked.withColumn("__rest", rest).withColumn("__w", F.lit(None).cast("double"))
-    held = leveled.select(by, "__kind", *_KEYS, _rest(F.col("__at")).alias("__rest"), "__w")
+    held = leveled.where(~edge).select(by, "__kind", *_KEYS, _rest(F.col("__at")).alias("__rest"), "__w")
     stacked = asked.unionByName(held, allowMissingColumns=True).withColumn("__part", bucket_of(F.col("__rest"), part))
     stacked = stacked.repartition(*cut)
     later = Window.partitionBy(*cut).orderBy(-F.col("__rest")).rangeBetween(Window.unboundedPreceding, -1)
@@ -112,20 +120,6 @@ def interval_parts(
     extra = F.coalesce(F.col("__in"), F.lit(0.0)) + F.coalesce(F.col("__carry"), F.lit(0.0))
     ago = F.pow(F.lit(0.5), (_minute(F.col(at)) - end) / F.lit(half_life_minutes))
     weight = ago * (F.col("__sum") + F.lit(2.0 ** (1 / half_life_minutes) - 1) * extra)
-    told = told.select(*probes.columns, F.col("__kind").alias(kind), "n", weight.alias("weight"), "first", "last")
-    return told.unionByName(edges.withColumnRenamed("__kind", kind))
-
-
-def _edges(
-    probes: DataFrame, points: DataFrame, by: str, at: str, span: int, low: Column, high: Column, half_life_minutes: float
-) -> DataFrame:
-    """The points of the two buckets that an interval holds a part of."""
-    asked = probes.withColumn("__bucket", F.explode(F.array_distinct(F.array(low, high))))
-    met = asked.join(points, [by, "__bucket"]).where(
-        (F.col("__at") <= F.col(at)) & (F.col("__at") > F.col(at) - F.lit(span))
-    )
-    weight = F.pow(F.lit(0.5), whole_minutes_between(F.col(at), F.col("__at")) / F.lit(half_life_minutes))
-    return met.select(
-        *probes.columns, "__kind", F.lit(1).cast("long").alias("n"), weight.alias("weight"),
-        F.col("__point").alias("first"), F.col("__point").alias("last"),
-    )
+    single = F.pow(F.lit(0.5), whole_minutes_between(F.col(at), met) / F.lit(half_life_minutes)) * F.col("n")
+    weight = F.when(edge, single).otherwise(weight)
+    return told.select(*probes.columns, F.col("__kind").alias(kind), "n", weight.alias("weight"), "first", "last")

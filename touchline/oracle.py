@@ -223,24 +223,29 @@ QUALIFY row_number() OVER (PARTITION BY c.transaction_id ORDER BY p.page_us, c.c
     )
 
 
-def _channel_case(m: str, s: str, c: str) -> str:
+def _channel_case(m: str, s: str, c: str, added: dict[str, str] | None = None) -> str:
     """The rules written out by hand, with the sites that the test table's
     sources can be: google and bing (search), youtube.com (video) and
-    facebook.com (social); none of them is a shopping site."""
+    facebook.com (social); none of them is a shopping site. added: conditions
+    under which a row's source is a site of a category besides."""
+    more = {k: (added or {}).get(k, "FALSE") for k in ("shopping", "search", "social", "video")}
     m, s, c = f"lower({m})", f"lower({s})", f"lower({c})"
     paid = f"regexp_matches({m}, '^(.*cp.*|ppc|retargeting|paid.*)$')"
     shop = f"regexp_matches({c}, '^(.*(([^a-df-z]|^)shop|shopping).*)$')"
-    search, social, video = f"{s} IN ('google', 'bing')", f"{s} = 'facebook.com'", f"{s} = 'youtube.com'"
+    search, social, video = (
+        f"({site} OR {more[k]})"
+        for k, site in (("search", f"{s} IN ('google', 'bing')"), ("social", f"{s} = 'facebook.com'"), ("video", f"{s} = 'youtube.com'"))
+    )
     return f"""CASE
   WHEN {s} = '(direct)' AND {m} IN ('(not set)', '(none)') THEN 'Direct'
   WHEN contains({c}, 'cross-network') THEN 'Cross-network'
-  WHEN {shop} AND {paid} THEN 'Paid Shopping'
+  WHEN {more['shopping']} OR ({shop} AND {paid}) THEN 'Paid Shopping'
   WHEN {search} AND {paid} THEN 'Paid Search'
   WHEN {social} AND {paid} THEN 'Paid Social'
   WHEN {video} AND {paid} THEN 'Paid Video'
   WHEN {m} IN ('display', 'banner', 'expandable', 'interstitial', 'cpm') THEN 'Display'
   WHEN {paid} THEN 'Paid Other'
-  WHEN {shop} THEN 'Organic Shopping'
+  WHEN {more['shopping']} OR {shop} THEN 'Organic Shopping'
   WHEN {social} OR {m} IN ('social', 'social-network', 'social-media', 'sm', 'social network', 'social media')
     THEN 'Organic Social'
   WHEN {video} OR contains({m}, 'video') THEN 'Organic Video'
@@ -259,6 +264,7 @@ def oracle_sql() -> dict[str, str]:
     q["event_params"] = _with(
         body="SELECT user_pseudo_id, event_timestamp, event_name, ga_session_id, page_location FROM ev"
     )
+    q["event_params_strict"] = q["event_params"]
     q["shard_range_counts"] = _with(
         body="SELECT event_date, count(*) AS events FROM ev GROUP BY event_date"
     )
@@ -270,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
 WHERE event_date LIKE '{C.PREFIX}%' GROUP BY event_date, event_name"""
     )
     history = _between(shift_date_key(C.WINDOW[0], -C.WINDOW_HISTORY_DAYS), C.WINDOW[1])
+    q["export_day"], q["export_prefix"] = q["shard_exact"], q["shard_prefix"]
     q["shard_window"] = _with(body=f"SELECT event_date, count(*) AS events FROM ev WHERE {history} GROUP BY event_date")
     for era in ("post", "pre"):
         q[f"session_source_{era}"] = _with(_current_sessions(era), body="SELECT * FROM cur")
@@ -298,6 +305,7 @@ FROM lnd GROUP BY medium""",
             body="""SELECT medium, count(DISTINCT user_pseudo_id || ' ' || CAST(ga_session_id AS VARCHAR)) AS sessions
 FROM lnd GROUP BY medium""",
         )
+    q["export_sessions_window"] = q["sessions_by_medium_window_post"]
     q["conversions"] = _with(
         _conversions(),
         body="""SELECT user_pseudo_id, ga_session_id, conversion_us, round(revenue + 1e-7, 4) AS revenue,
@@ -345,6 +353,17 @@ FROM base""",
         body=f"""SELECT channel, count(DISTINCT user_pseudo_id || ' ' || CAST(ga_session_id AS VARCHAR)) AS sessions
 FROM (SELECT *, {chan} AS channel FROM lnd) GROUP BY channel""",
     )
+    q["channel_report_site_table_post"] = q["channel_report_post"]
+    source = f"lower(coalesce(source, '{C.NO_SOURCE}'))"
+    ends = lambda digit, site: f"({source} = '{site}' AND user_pseudo_id LIKE '%{digit}')"
+    pushed = "CASE medium WHEN 'email' THEN 'Web-Push' WHEN 'referral' THEN 'mobile_push' ELSE medium END"
+    push_chan = _channel_case(
+        f"coalesce({pushed}, '{C.NO_MEDIUM}')", source, f"coalesce(campaign, '{C.NO_CAMPAIGN}')",
+        {"shopping": ends(7, "newsletter"), "search": ends(3, "partner.example"), "social": ends(2, "newsletter"), "video": ends(1, "partner.example")},
+    )
+    q["channel_push_and_added_sites"] = _with(
+        body=f"SELECT channel, count(*) AS events FROM (SELECT {push_chan} AS channel FROM ev) GROUP BY channel"
+    )
     raw_chan = _channel_case(
         f"coalesce(medium, '{C.NO_MEDIUM}')",
         f"coalesce(source, '{C.NO_SOURCE}')",

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.functions.params import session_id
 from touchline.functions.timefn import whole_minutes_between
-from touchline.operators.asof import bucket_of
+from touchline.operators.asof import IS_BUILD, asof_stacked, bucket_of, value_column
 from touchline.operators.interval import interval_parts
 from touchline.plans.sessions import (
     ERAS,
@@ -48,7 +48,7 @@ from touchline.plans.sessions import (
     last_non_direct,
     session_history_first,
 )
-from touchline.schema import MICROS_PER_DAY
+from touchline.schema import MICROS_PER_DAY, SECONDS_PER_DAY, SYSTEM_EVENTS
 from touchline.sources.export import shard_between
 
 HALF_LIFE_DAYS = 7.0
@@ -467,6 +467,65 @@ def compare_models_joined(tp: DataFrame) -> DataFrame:
 Dates = tuple[str | None, str | None]
 
 
+def _hull(*dates: Dates) -> Dates:
+    """The smallest range that holds all of them."""
+    starts, ends = zip(*dates)
+    return (None if None in starts else min(starts)), (None if None in ends else max(ends))
+
+
+def _within(dates: Dates) -> Column:
+    start, end = dates
+    day, inside = F.col("event_date"), F.lit(True)
+    if start is not None:
+        inside = inside & (day >= F.lit(start))
+    if end is not None:
+        inside = inside & (day <= F.lit(end))
+    return F.coalesce(inside, F.lit(False))
+
+
+def attribution_state(
+    events: DataFrame,
+    conversion_dates: Dates,
+    session_dates: Dates,
+    history_dates: Dates,
+    era: str = "post",
+    conversion_event: str = "purchase",
+) -> DataFrame:
+    """What `conversions`, `attribution_sessions` and `session_history_first` tell,
+    from one pass over the events: rows of (user, session) and, in era "post",
+    the medium of its `session_start` events. A user's other events are one row a
+    session, so conversions and history stand on one row each."""
+    ts, name = F.col("event_timestamp"), F.col("event_name")
+    touch = F.coalesce(~name.isin(*SYSTEM_EVENTS), F.lit(False))
+    m, g = F.col("m"), F.col("g")
+    medium = F.when(g.isNotNull(), F.lit("cpc")).otherwise(m)
+    ev = shard_between(events, *_hull(conversion_dates, session_dates, history_dates)).select(
+        USER, session_id().alias(SID), ts, F.col("collected_traffic_source.manual_medium").alias("m"),
+        F.col("collected_traffic_source.gclid").alias("g"), F.col("ecommerce.purchase_revenue").alias("value"),
+        F.col("ecommerce.transaction_id").alias("tx"),
+        F.coalesce((name == conversion_event) & _within(conversion_dates), F.lit(False)).alias("is_conversion"),
+        (touch & _within(history_dates)).alias("is_past"),
+        F.coalesce((name == "session_start" if era == "post" else touch) & _within(session_dates), F.lit(False)).alias("is_current"),
+    ).filter(F.col(USER).isNotNull() & (F.col("is_conversion") | F.col("is_past") | F.col("is_current")))
+    current, past, converts = F.col("is_current"), F.col("is_past"), F.col("is_conversion")
+    keys, first = [], F.min(F.when(current, F.struct(ts, medium.alias("m"))))["m"]
+    if era == "post":
+        ev = ev.withColumn("start_medium", F.when(current, medium)).withColumn("is_start", current)
+        keys, first = ["is_start", "start_medium"], F.col("start_medium")
+    return ev.groupBy(USER, SID, *keys).agg(
+        first.alias("raw_medium"),
+        F.min(F.when(current, ts)).alias("session_start_us"),
+        F.min(F.when(past, F.struct(ts, m, g))).alias("past"),
+        F.min(F.when(converts, ts)).alias("conversion_us"),
+        F.sum(F.when(converts, F.col("value"))).alias("revenue"),
+        F.max(F.when(converts, F.col("tx"))).alias("transaction_id"),
+    ).select(
+        USER, SID, "raw_medium", "session_start_us", "conversion_us", "revenue", "transaction_id",
+        F.col("past").isNotNull().alias("has_past"),
+        F.when(F.col("past.g").isNotNull(), F.lit("cpc")).otherwise(F.col("past.m")).alias("old_medium"),
+    )
+
+
 def attribution_inputs(
     events: DataFrame,
     conversion_dates: Dates,
@@ -475,11 +534,36 @@ def attribution_inputs(
     era: str = "post",
     conversion_event: str = "purchase",
 ) -> tuple[DataFrame, DataFrame]:
-    """(conversions, interactions) of an export; a date of None is no bound."""
-    conv = conversions(shard_between(events, *conversion_dates), conversion_event)
-    current = attribution_sessions(shard_between(events, *session_dates), era)
-    history = session_history_first(shard_between(events, *history_dates))
-    return conv, interactions(current, history)
+    """(conversions, interactions) of an export; a date of None is no bound.
+    Users without id, who match nothing, are left out."""
+    if era not in ERAS:
+        raise ValueError(f"era must be one of {ERAS}")
+    if conversion_event in SYSTEM_EVENTS:  # these stand on several rows of the state
+        current = attribution_sessions(shard_between(events, *session_dates), era)
+        history = session_history_first(shard_between(events, *history_dates))
+        return conversions(shard_between(events, *conversion_dates), conversion_event), interactions(current, history)
+    state = attribution_state(events, conversion_dates, session_dates, history_dates, era, conversion_event)
+    # always true, but it needs every column: so no use of the state is pruned,
+    # and all of them share its exchange
+    state = state.where(F.pmod(F.xxhash64(*state.columns), F.lit(2)) < 2)
+    conv = state.where(F.col("conversion_us").isNotNull()).select(USER, SID, "conversion_us", "revenue", "transaction_id")
+    string, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def row(is_build: int, medium: Column, at: Column, old: Column) -> Column:
+        return F.struct(
+            F.lit(is_build).alias(IS_BUILD), medium.alias("medium"), at.alias("session_start_us"),
+            old.alias(value_column("old_medium")),
+        )
+
+    here = F.col(SID).isNotNull()
+    probe = F.when(here & F.col("session_start_us").isNotNull(), row(0, F.col("raw_medium"), F.col("session_start_us"), string))
+    build = F.when(here & F.col("has_past"), row(1, string, number, F.col("old_medium")))
+    rows = state.select(USER, SID, F.explode(F.array(probe, build)).alias("r")).where("r IS NOT NULL").select(USER, SID, "r.*")
+    found = asof_stacked(rows, [USER], SID, ["old_medium"], SECONDS_PER_DAY, count_col="__history_rows")
+    inter = found.filter(F.col("__history_rows") > 0).select(
+        USER, SID, F.coalesce("medium", "old_medium").alias("medium"), "session_start_us", F.col("medium").alias("raw_medium")
+    )
+    return conv, inter
 
 
 def attribution_pairs(

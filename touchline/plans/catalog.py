@@ -9,12 +9,13 @@ comparison with the DuckDB oracle: TIMESTAMP columns become epoch microseconds
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.channels import SiteLists
+from touchline.functions.channels import SiteLists, default_channel_grouping, site_rows, site_table
 from touchline.functions.params import page_location, session_id
 from touchline.functions.timefn import shift_date_key
 from touchline.plans import attribution as A
@@ -22,7 +23,8 @@ from touchline.plans import sessions as S
 from touchline.plans.channels import NO_CAMPAIGN, NO_MEDIUM, NO_SOURCE, channel_report
 from touchline.plans.lookback import lookback_window
 from touchline.plans.sql_functions import DEFAULT_EVENTS_VIEW, register_sql_functions
-from touchline.sources.export import shard_between, shard_day, shard_prefix
+from touchline.session import shared_dir
+from touchline.sources.export import read_export, shard_between, shard_day, shard_prefix, write_export
 from touchline.sources.fixture import read_test_events
 
 ALL = (None, None)  # no bound: every event, also one without a date
@@ -81,6 +83,36 @@ def q_event_params(spark, sf_dir):
     )
 
 
+def q_event_params_strict(spark, sf_dir):
+    """The same, where a repeated key would raise."""
+    return _ev(spark, sf_dir).select(
+        "user_pseudo_id", "event_timestamp", "event_name",
+        session_id(strict=True).alias("ga_session_id"), page_location(strict=True).alias("page_location"),
+    )
+
+
+def _export(spark, sf_dir) -> DataFrame:
+    """The events as a dataset partitioned by date, written and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/touchline-export-{uuid.uuid4().hex}"
+    write_export(_ev(spark, sf_dir), path)
+    return read_export(spark, path)
+
+
+def q_export_day(spark, sf_dir):
+    day = shard_day(_export(spark, sf_dir), EXACT_DAY)
+    return day.groupBy("event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def q_export_prefix(spark, sf_dir):
+    days = shard_prefix(_export(spark, sf_dir), PREFIX)
+    return days.groupBy("event_date", "event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def q_export_sessions_window(spark, sf_dir):
+    """The windowed report from partitions: history and window name their shards."""
+    return S.traffic_report(_export(spark, sf_dir), *WINDOW, "post", WINDOW_HISTORY_DAYS)
+
+
 def q_shard_range_counts(spark, sf_dir):
     return _all(spark, sf_dir).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
@@ -185,6 +217,25 @@ def q_channel_report(spark, sf_dir):
     return channel_report(_ev(spark, sf_dir), *ALL, SITES, "post", HISTORY_DAYS)
 
 
+def q_channel_report_site_table(spark, sf_dir):
+    """The same with the sites as a table."""
+    return channel_report(_ev(spark, sf_dir), *ALL, site_table(site_rows(spark, SITES)), "post", HISTORY_DAYS)
+
+
+def q_channel_push_and_added(spark, sf_dir):
+    """Media that end in push, and sites that some users add to the lists."""
+    source, medium = F.col("collected_traffic_source.manual_source"), F.col("collected_traffic_source.manual_medium")
+    pushed = F.when(medium == "email", F.lit("Web-Push")).when(medium == "referral", F.lit("mobile_push")).otherwise(medium)
+    user = F.col("user_pseudo_id")
+    added = lambda end, site: F.when(user.endswith(end), F.array(F.lit("other.example"), F.lit(site)))
+    channel = default_channel_grouping(
+        F.coalesce(pushed, F.lit(NO_MEDIUM)), F.coalesce(source, F.lit(NO_SOURCE)),
+        F.coalesce("collected_traffic_source.manual_campaign_name", F.lit(NO_CAMPAIGN)), SITES,
+        added("7", "newsletter"), added("3", "partner.example"), added("2", "newsletter"), added("1", "partner.example"),
+    )
+    return _ev(spark, sf_dir).groupBy(channel.alias("channel")).agg(F.count(F.lit(1)).alias("events"))
+
+
 def q_channel_sql(spark, sf_dir):
     register_sql_functions(spark, SITES, _ev(spark, sf_dir))
     return spark.sql(
@@ -204,7 +255,11 @@ def q_channel_sql(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "event_params": q_event_params,
+    "event_params_strict": q_event_params_strict,
     "shard_range_counts": q_shard_range_counts,
+    "export_day": q_export_day,
+    "export_prefix": q_export_prefix,
+    "export_sessions_window": q_export_sessions_window,
     "shard_exact": q_shard_exact,
     "shard_prefix": q_shard_prefix,
     "shard_window": q_shard_window,
@@ -236,5 +291,7 @@ QUERIES: dict[str, Query] = {
     "lookback_tvf_one_day": q_lookback_tvf_one_day,
     "lookback_tvf": q_lookback_tvf,
     "channel_report_post": q_channel_report,
+    "channel_report_site_table_post": q_channel_report_site_table,
+    "channel_push_and_added_sites": q_channel_push_and_added,
     "channel_sql_session_start": q_channel_sql,
 }
