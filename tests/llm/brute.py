@@ -13,9 +13,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, id long, row string, n int, node string, "
-    "size string, doc string, tag string, keep_id string, `key` string, component long, kept string, n_lines string"
+    "size string, doc string, tag string, keep_id string, `key` string, component long, kept string, n_lines string, "
+    "s string, lam int, mean string, target int, source_size int, `full` int, below int, __key int, __size int, __doc int"
 )
-EXTRA = (1, "r", 2, "x", "s", "d", "t", "k", "key", 3, "yes", "many")
+EXTRA = (1, "r", 2, "x", "s", "d", "t", "k", "key", 3, "yes", "many", "s", 4, "m", 5, 6, 7, 8, 9, 10, 11)
 
 
 def words(seed: int, n: int) -> str:
@@ -99,13 +100,22 @@ def repeated_bytes(texts: list[str | None], length: int) -> list[tuple[int, int,
 
 
 def levenshtein(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """The edit distance by Myers' bit vectors."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    all_, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = all_, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        x, y = same | down, (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(y | up) & all_, up & y
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(x | plus)) & all_, plus & x & all_
+    return score
 
 
 def winnow(units: list[int], w: int) -> list[tuple[int, int]]:

@@ -77,6 +77,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """`name`, or with underscores in front if a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def document_key(id_col: str, text_col: str) -> Column:
     """A document as a value: its id (nulls last) and 80 bits of hashes of its
     text. Rows that repeat id and text have the same key; any others differ."""
@@ -90,16 +97,15 @@ def document_key(id_col: str, text_col: str) -> Column:
 def join_by_key(docs: DataFrame, keys: DataFrame, key: str, how: str, id_col: str, text_col: str) -> DataFrame:
     """`docs` joined with `keys` on the struct column `key` of document_key.
     Anti and semi joins with few keys are broadcast by their size."""
+    doc, tag, number = (free_name(c, docs.columns) for c in ("__doc", "__tag", "__id"))
     side = keys.select(
-        F.col(f"{key}.doc").alias("__doc"), F.col(f"{key}.tag").alias("__tag"), F.col(f"{key}.id").alias("__id"),
+        F.col(f"{key}.doc").alias(doc), F.col(f"{key}.tag").alias(tag), F.col(f"{key}.id").alias(number),
         *[F.col(c) for c in keys.columns if c != key],
     )
     own = document_key(id_col, text_col)
-    on = (
-        (own["doc"] == F.col("__doc")) & (own["tag"] == F.col("__tag")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    )
+    on = (own["doc"] == F.col(doc)) & (own["tag"] == F.col(tag)) & F.col(id_col).eqNullSafe(F.col(number))
     out = docs.join(side, on, how)
-    return out if how in ("left_anti", "left_semi") else out.drop("__doc", "__tag", "__id")
+    return out if how in ("left_anti", "left_semi") else out.drop(doc, tag, number)
 
 
 # --- connected components -------------------------------------------------------

@@ -1,19 +1,22 @@
 """Operator 9: document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words (runs of other characters than space and U+0009..U+000D) are
-hashed, each run of `k` words gets a rolling hash of its words' hashes, and of
-each window of `w` such hashes the smallest is chosen, the rightmost of equal
-ones. The fingerprint is the chosen hashes with their positions. Any run of
-w + k - 1 words that two texts share leaves a common hash in both. A text of
-fewer than SHORT_CHARS code points has too few words for that; its units are
-its characters. The window is never more than a quarter of the hashes, so short
-texts choose more of them.
+A text's units are its words (runs of other characters than space and
+U+0009..U+000D), cut into parts of WORD_CHARS characters, and single characters of
+scripts that are written without spaces: the same at every length of text, so
+that texts of any two lengths can share hashes. Units are hashed, each run of `k`
+units gets a rolling hash of their hashes, and of each window of `w` such hashes
+the smallest is chosen, the rightmost of equal ones. The fingerprint is the chosen
+hashes with their positions. Any run of w + k - 1 units that two texts share
+leaves a common hash in both. The window is never more than a quarter of the
+hashes, so short texts choose more of them: a smaller window's choice holds that
+of any larger one, so the guarantee stands between short and long texts too.
 
 A hash (32 bits) and its position are held in one number, hash * 2**31 +
 (2**31 - 1 - position), so that the smallest number of a window is the rightmost
 smallest hash.
 
-Cases: null text counts as empty; an empty text has an empty fingerprint, which
+Cases: null text counts as empty; a text of any length is one row's arrays of
+numbers; an empty text has an empty fingerprint, which
 is alike (1) to another empty one and unlike (0) to any other; fewer than k
 words make one hash, fewer than w hashes one window; equal texts have equal
 fingerprints; an empty table gives an empty result; other columns are ignored.
@@ -28,11 +31,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from touchline.llm.common import SPACE_CLASS, text_or_empty
+from touchline.llm.common import text_or_empty
 
 K_WORDS = 4
 W_HASHES = 12
-SHORT_CHARS = 200
+WORD_CHARS = 8
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their neighbours.
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u2E80-\uABFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNIT_PATTERN = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,{WORD_CHARS}}}"
 LOW32, LAST = 0xFFFFFFFF, 0x7FFFFFFF
 
 
@@ -43,10 +49,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    """The words of a text; the characters of a short one."""
-    return F.array_remove(
-        F.when(F.char_length(text) < SHORT_CHARS, F.split(text, "")).otherwise(F.split(text, SPACE_CLASS + "+")), ""
-    )
+    """Parts of words, and single characters of scripts without spaces."""
+    return F.regexp_extract_all(text, F.lit(UNIT_PATTERN), F.lit(0))
 
 
 def winnow(text: Column, k: int = K_WORDS, w: int = W_HASHES) -> Column:

@@ -164,11 +164,12 @@ def _thresholds(rated: DataFrame, sources: DataFrame, rounds: int = 4) -> DataFr
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """`docs` and its rows' source, size and u (a number from 0 to 1 that
+    """The rows as `__doc`, and their source, size and u (a number from 0 to 1 that
     depends on id and text alone)."""
     h = F.xxhash64(F.col(id_col), F.col(text_col))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # apart from the plan's columns, whatever their names
     return docs.select(
-        "*", F.col(source_col).alias("__source"), word_count(text_or_empty(text_col)).alias("__size"),
+        whole.alias("__doc"), F.col(source_col).alias("__source"), word_count(text_or_empty(text_col)).alias("__size"),
         (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias("__u"),
     )
 
@@ -222,7 +223,8 @@ def entropy_mix(
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, rate,
     copies (0 to cap), taken (= copies * size)."""
-    rows = _sized(docs, id_col, text_col, source_col).select(F.col(id_col).alias("__id"), "__source", "__size", "__u")
+    rows = _sized(docs, id_col, text_col, source_col)
+    rows = rows.select(F.col("__doc").getField(id_col).alias("__id"), "__source", "__size", "__u")
     rows = staged(rows, "mix-sized")
     out = _with_plan(rows, mixing_plan(rows, weights, ratio, cap))
     return out.select(
@@ -247,4 +249,5 @@ def mixed_documents(
     plan = mixing_plan(staged(sized.select("__source", "__size", "__u"), "mix-sized"), weights, ratio, cap)
     times = F.sequence(F.lit(1), _copies(cap))
     rows = _with_plan(sized, plan).where(_copies(cap) > 0)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
+    rows = rows.select("__doc", F.explode(times).alias("__copy"))
+    return rows.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
