@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 # One id as it is stored and summed: little-endian unsigned 32 bits.
@@ -32,8 +33,8 @@ _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u20
 _ODD_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # White space that the byte-level split by lines and spaces can't take: runs,
-# tabs, returns, and any at a text's ends.
-_UNEVEN = re.compile(r"\s\s|[\t\r]|^\s|\s\Z")
+# tabs and returns (and any at a text's ends).
+_UNEVEN = ("  ", "\t", "\r", "\n\n", " \n", "\n ")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -119,7 +120,7 @@ class ChunkEncoder:
     def _piece(self, text: str) -> bytes:
         if self.lower:
             return b"".join(map(self.store.__getitem__, text.split()))
-        if not _UNEVEN.search(text):
+        if not (text[0].isspace() or text[-1].isspace() or any(x in text for x in _UNEVEN)):
             return self._even(text)
         return b"".join([
             self.after_space[c[1:]] if c[0] == " " and len(c) > 1 and c[1] != " " else self.store[c]
@@ -162,11 +163,25 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+_SLICE_BYTES = 4 << 20
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small batches: with long texts, 256 rows at a time bound the memory."""
+    """Small batches: at most `rows` rows, and no more text once they hold
+    _SLICE_BYTES, so that several very long texts are not in work at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for c in texts:
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size)
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = int(np.searchsorted(upto, before + _SLICE_BYTES, side="right"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def token_ids(
