@@ -145,7 +145,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 # --- words as 64-bit hashes -----------------------------------------------------
-_SEG = 1 << 21  # bytes hashed at a time: bounds memory, also for very long texts
+_SEG = 1 << 19  # bytes hashed at a time: bounds memory (also of the power tables), also for very long texts
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
