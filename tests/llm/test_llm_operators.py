@@ -396,6 +396,23 @@ def test_mixing(spark, docs, rows, empty):
     assert entropy_mix(empty).count() == mixed_documents(empty).count() == 0
 
 
+def test_mixing_rounds_equal_rows_one_by_one(spark):
+    rows = [(None, "one two three four five six seven eight", "a")] * 90 + [(i, brute.words(i, 8), "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kinds = []
+    for part in (docs, docs.coalesce(1)):
+        got = entropy_mix(part, weights=(2, 1)).collect()
+        for source in "ab":
+            mine = [r for r in got if r.source == source]
+            assert len(mine) == (90 if source == "a" else 60)
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8
+        kinds.append(Counter(map(tuple, got)))
+    assert kinds[0] == kinds[1]
+    assert Counter(map(tuple, mixed_documents(docs, weights=(2, 1)).select("doc_id", "source").collect())) == Counter(
+        {(r.doc_id, r.source): 0 for r in got}
+    ) + Counter((r.doc_id, r.source) for r in got for _ in range(r.copies))
+
+
 def test_mixing_meets_targets_and_tilts(spark):
     rows = [(i, brute.words(i, 5 + i * 7 % 60), "abcd"[i % 4]) for i in range(800)]
     got = entropy_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(5, 2, 1)).collect()

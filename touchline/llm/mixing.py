@@ -14,14 +14,17 @@ read again. A source that holds a third of all rows is a partial aggregate.
 
 Rates become whole copies, floor(rate) or one more: a document gets one more
 if u - frac(rate) is below a threshold of its source, u being a hash of its id
-and text. The threshold is where the source's words meet its target, found by
+and text, and of its number among rows that repeat both (counted in two levels, so
+that rows of one id and text are never in one task). The threshold is where the source's words meet its target, found by
 refining histograms of that margin (bins of bins), so that a source misses its
 target by about one document's size at most and reruns agree.
 
 Cases: null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 are taken as they are rated and add no words; rows
-that repeat each count and are taken alike; a source without words has target
-0; an empty table gives an empty result; other columns are ignored.
+that repeat, null ids included, each count and are rounded one by one (which of
+them gets a copy more is arbitrary, how many is not); very long texts are only
+counted; a source without words has target 0; an empty table gives an empty
+result; other columns are ignored. A dual that does not converge is an error.
 """
 
 from __future__ import annotations
@@ -114,6 +117,8 @@ def _solve(hist: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
         if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
         state = state.drop("error")
+    else:
+        raise ArithmeticError(f"after {MAX_NEWTON} Newton steps a source still misses its target")
     # sums of doubles differ in their last bits with the order of the rows; the
     # rounded variable is the same in every run
     return state.select("source", F.round("lam", 12).alias("lam"), "mean", "full")
@@ -163,15 +168,38 @@ def _thresholds(rated: DataFrame, sources: DataFrame, rounds: int = 4) -> DataFr
     )
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The rows as `__doc`, and their source, size and u (a number from 0 to 1 that
-    depends on id and text alone)."""
-    h = F.xxhash64(F.col(id_col), F.col(text_col))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # apart from the plan's columns, whatever their names
-    return docs.select(
-        whole.alias("__doc"), F.col(source_col).alias("__source"), word_count(text_or_empty(text_col)).alias("__size"),
-        (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias("__u"),
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (with __h) with `__copy`: 0, or the number of a row among those
+    of one __h. Numbers count on from part to part of the table, so the rows of one
+    __h are numbered where they lie."""
+    twice = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__h")
+    twice = staged(twice, "mix-repeated")
+    if twice.isEmpty():
+        return rows.withColumn("__copy", F.lit(0).cast("long"))
+    again = rows.join(twice, "__h", "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    again = staged(again.withColumn("__part", F.shiftright("__row", 33)), "mix-copies")
+    sizes = again.groupBy("__h", "__part").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__h").orderBy("__part"))  # a row a part
+    before = sizes.select(F.col("__h").alias("h"), F.col("__part").alias("part"), (upto - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__h", "__part").orderBy("__row"))
+    numbered = again.withColumn("__copy", own.cast("long")).join(
+        before, (F.col("__h") == F.col("h")) & (F.col("__part") == F.col("part"))
     )
+    numbered = numbered.withColumn("__copy", F.col("__copy") + F.col("before") - 1).select(*rows.columns, "__copy")
+    once = rows.join(twice, "__h", "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    return once.unionByName(numbered)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carried: Column) -> DataFrame:
+    """`carried` as `__doc`, and the rows' source, size and u (a number from 0 to 1
+    that depends on id and text, and on the row's number among equal ones)."""
+    rows = docs.select(
+        carried.alias("__doc"), F.col(source_col).alias("__source"), word_count(text_or_empty(text_col)).alias("__size"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("__h"),
+    )
+    h = F.when(F.col("__copy") == 0, F.col("__h")).otherwise(F.xxhash64("__h", "__copy"))
+    u = (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias("__u")
+    return _numbered(rows).select("__doc", "__source", "__size", u)
 
 
 def _rate(cap: int) -> Column:
@@ -223,12 +251,10 @@ def entropy_mix(
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, rate,
     copies (0 to cap), taken (= copies * size)."""
-    rows = _sized(docs, id_col, text_col, source_col)
-    rows = rows.select(F.col("__doc").getField(id_col).alias("__id"), "__source", "__size", "__u")
-    rows = staged(rows, "mix-sized")
+    rows = staged(_sized(docs, id_col, text_col, source_col, F.col(id_col)), "mix-sized")
     out = _with_plan(rows, mixing_plan(rows, weights, ratio, cap))
     return out.select(
-        F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__size").alias("size"),
+        F.col("__doc").alias(id_col), F.col("__source").alias("source"), F.col("__size").alias("size"),
         "source_size", "target", _rate(cap).alias("rate"), _copies(cap).alias("copies"),
         (_copies(cap) * F.col("__size")).cast("long").alias("taken"),
     )
@@ -243,9 +269,11 @@ def mixed_documents(
     ratio: float = 1.5,
     cap: int = 2,
 ) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Texts are not
-    shuffled: the plan (one row a source) is joined to the scan."""
-    sized = _sized(docs, id_col, text_col, source_col)
+    """The rows of `docs`, each as often as the mix takes it. Texts are not shuffled
+    but those of rows that repeat id and text: the plan (one row a source) is joined
+    to the scan."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # apart from the plan's columns, whatever their names
+    sized = _sized(docs, id_col, text_col, source_col, whole)
     plan = mixing_plan(staged(sized.select("__source", "__size", "__u"), "mix-sized"), weights, ratio, cap)
     times = F.sequence(F.lit(1), _copies(cap))
     rows = _with_plan(sized, plan).where(_copies(cap) > 0)
