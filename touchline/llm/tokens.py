@@ -166,9 +166,11 @@ def crc32(data: bytes) -> int:
 _SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = _SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     """Small batches: at most `rows` rows, and no more text once they hold
-    _SLICE_BYTES, so that several very long texts are not in work at a time."""
+    `most` bytes, so that several very long texts are not in work at a time."""
     for batch in batches:
         texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
         size = np.zeros(batch.num_rows, dtype=np.int64)
@@ -178,7 +180,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
         at = 0
         while at < batch.num_rows:
             before = upto[at - 1] if at else 0
-            end = int(np.searchsorted(upto, before + _SLICE_BYTES, side="right"))
+            end = int(np.searchsorted(upto, before + most, side="right"))
             end = min(max(end, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
