@@ -118,6 +118,34 @@ def test_language_held_out_accuracy(spark):
     assert told.where("NOT kept").count() == 0
 
 
+def test_text_of_another_language_is_not_kept(spark):
+    """Also if a known language is declared and the letters are known."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    other = [
+        "Il governo ha annunciato ieri che le nuove misure entreranno in vigore a partire dal prossimo mese, secondo "
+        "quanto riferito dai giornali della mattina e dalle agenzie di stampa",
+        "De regering heeft gisteren aangekondigd dat de nieuwe maatregelen vanaf volgende maand van kracht worden in "
+        "alle gemeenten van het land",
+        "Vláda včera oznámila, že nová opatření vstoupí v platnost od příštího měsíce a budou platit do konce roku",
+        "これは日本語の文章です。政府は昨日、新しい措置を発表しました。",
+    ]
+    spec = "doc_id long, text string, lang string, source string"
+    rows = spark.createDataFrame([(i, x, lang, "s") for i, x in enumerate(other) for lang in ("es", "it", None)], spec)
+    got = language.identify(rows, model).collect()
+    assert len(got) == 12 and {(r.id_lang, r.kept) for r in got} == {("und", False)}
+    # few clean documents go with them, though nothing but the text is known
+    hidden = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    assert language.identify(hidden, model).where("NOT kept").count() <= 0.002 * docs.count()
+
+
+def test_language_model_does_not_depend_on_the_order(spark):
+    rows = [(None, brute.words(i, 40), "en", "s") for i in range(50)] + [(None, brute.words(1, 40), "en", "s")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    models = [language.train(d, per_language=20) for d in (docs.repartition(5), docs.orderBy(F.rand(2)), docs.coalesce(1))]
+    assert all(np.array_equal(models[0], m) for m in models)
+
+
 def test_language_evidence_moves_the_posterior(spark):
     """With an undecided text the declared language, the host and the suffix decide."""
     spec = "page_id long, text string, declared string, host string, domain string, suffix string"

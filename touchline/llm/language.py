@@ -3,9 +3,13 @@
 Each row's posterior over the languages and "und" (undetermined) multiplies:
 
 * the likelihood of the whole text under character-trigram models (hashed to a
-  fixed table, one per language; "und" is the uniform model). The mean log
-  likelihood of a trigram counts as at most TEXT_WEIGHT independent trigrams,
-  so a long text does not silence the other evidence;
+  fixed table, one per language). "und" has a background model, the pairs of bytes
+  of all languages' samples together, or the uniform one if that fits better: a text
+  in the letters of the known languages but not in their trigrams is nearer to the
+  background. It must be better by UNKNOWN_MARGIN a trigram, as single odd words are
+  no other language. The mean log likelihood of a trigram counts as at most
+  TEXT_WEIGHT independent trigrams, so a long text does not silence the other
+  evidence;
 * the declared language (the markup's lang attribute, or a column), which is
   right with probability TRUST;
 * the address suffix, by how often each suffix goes with each declared
@@ -15,7 +19,7 @@ Each row's posterior over the languages and "und" (undetermined) multiplies:
 
 The counts come from grouped aggregation over all rows; only the trigram models
 are fitted on a bounded sample of labelled rows (`per_language` for each
-language, those with the smallest hash of the id). Texts never leave the scan:
+language, those with the smallest hash of id and text). Texts never leave the scan:
 they become a few numbers first, and these are joined with the hosts' priors,
 so a host that holds a third of all rows is a partial aggregate and a join
 partition that the adaptive planner splits.
@@ -26,13 +30,14 @@ and texts without letters have no trigram and are "und"; a null or unknown
 declared language, suffix or host is no evidence (a null host's prior is its
 domain's or the corpus's); repeated rows count each; an empty table gives an
 empty result; a language without a labelled row keeps a uniform text model;
-other columns are ignored.
+of languages that are equally probable the first named is told; very long texts are
+read whole, in segments; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -50,25 +55,41 @@ TEXT_WEIGHT = 60.0
 TRUST = 0.9
 SMOOTH = 10.0
 UNKNOWN_PRIOR = 0.01
+UNKNOWN_MARGIN = 0.5
 _SEG = 1 << 20
 # Bytes of a text that are part of a word: letters and everything beyond ASCII.
 _LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 _CLEAN = np.array([b if _LETTER[b] else 0x20 for b in range(256)], dtype=np.int64)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Places in the table of the text's trigrams (lower case, anything but
-    letters is a space, at most one space in a trigram)."""
+def _bytes(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, whether a trigram starts there) of the text's segments: lower case,
+    anything but letters is a space, at most one space in a trigram."""
     data = text.lower().encode("utf-8", "surrogatepass")
-    out = []
-    for at in range(0, max(1, len(data)), _SEG):
-        b = _CLEAN[np.frombuffer(data, dtype=np.uint8, count=min(_SEG + 2, len(data) - at), offset=at)] if data else []
+    for at in range(0, len(data), _SEG):
+        b = _CLEAN[np.frombuffer(data, dtype=np.uint8, count=min(_SEG + 2, len(data) - at), offset=at)]
         if len(b) > 2:
-            place = (b[:-2] * 0x9E37 + b[1:-1]) * 0x85EB + b[2:]
             space = b == 0x20
-            ok = space[:-2].astype(np.int8) + space[1:-1] + space[2:] < 2
-            out.append((place[ok] ^ place[ok] >> 16) & (TABLE - 1))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+            yield b, space[:-2].astype(np.int8) + space[1:-1] + space[2:] < 2
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Places in the table of the text's trigrams."""
+    out = []
+    for b, ok in _bytes(text):
+        place = (b[:-2] * 0x9E37 + b[1:-1]) * 0x85EB + b[2:]
+        out.append((place[ok] ^ place[ok] >> 16) & (TABLE - 1))
+    return _joined(out)
+
+
+def pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second pair of bytes of each of the text's trigrams."""
+    both = [(b[:-1] * 256 + b[1:], ok) for b, ok in _bytes(text)]
+    return _joined([p[:-1][ok] for p, ok in both]), _joined([p[1:][ok] for p, ok in both])
 
 
 # --- text models ------------------------------------------------------------------
@@ -76,46 +97,57 @@ def train(
     labelled: DataFrame, languages: Sequence[str] = LANGUAGES, per_language: int = PER_LANGUAGE,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> np.ndarray:
-    """Log probabilities [language, trigram] from at most `per_language` rows
-    of each language."""
+    """Log probabilities [language, trigram] from at most `per_language` different
+    rows of each language; then two lines of the background: of pairs of bytes, and of
+    their second byte given the first."""
     rows = labelled.select(
-        F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text")
+        F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text")
     )
     picked = []
     for lang in languages:
         few = rows.where(F.col("lang") == lang)
         # the hash below which `per_language` rows lie, from narrow columns; then their texts
-        last = few.select("h").orderBy("h").limit(per_language).agg(F.max("h")).first()[0]
+        last = few.select("h").distinct().orderBy("h").limit(per_language).agg(F.max("h")).first()[0]
         if last is not None:
-            picked.append(few.where(F.col("h") <= last).limit(per_language))
-    counts = np.zeros((len(languages), TABLE), dtype=np.float64)
+            picked.append(few.where(F.col("h") <= last).dropDuplicates(["h"]))
+    counts = np.zeros((2, len(languages), TABLE), dtype=np.float64)  # of trigrams, of pairs
     if picked:
         sample = reduce(DataFrame.unionByName, picked)
 
         def count(batches):
-            tables: dict[str, np.ndarray] = {}
+            tables: dict[tuple[str, int], np.ndarray] = {}
             for b in slices(batches):
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    t = tables.setdefault(lang, np.zeros(TABLE, dtype=np.int64))
-                    t += np.bincount(trigrams(text), minlength=TABLE)
-            for lang, t in tables.items():
+                    for kind, places in enumerate((trigrams(text), pairs(text)[0])):
+                        t = tables.setdefault((lang, kind), np.zeros(TABLE, dtype=np.int64))
+                        t += np.bincount(places, minlength=TABLE)
+            for (lang, kind), t in tables.items():
                 g = np.flatnonzero(t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(t[g])], ["lang", "g", "n"]
+                    [pa.array([lang] * len(g), pa.string()), pa.array([kind] * len(g), pa.int32()), pa.array(g), pa.array(t[g])],
+                    ["lang", "kind", "g", "n"],
                 )
 
-        grams = sample.select("lang", "text").mapInArrow(count, "lang string, g long, n long")
+        grams = sample.select("lang", "text").mapInArrow(count, "lang string, kind int, g long, n long")
         place = {lang: i for i, lang in enumerate(languages)}
-        # at most languages * TABLE rows
-        for lang, g, n in grams.groupBy("lang", "g").agg(F.sum("n")).toLocalIterator():
-            counts[place[lang], g] = n
+        # at most 2 * languages * TABLE rows
+        for lang, kind, g, n in grams.groupBy("lang", "kind", "g").agg(F.sum("n")).toLocalIterator():
+            counts[kind, place[lang], g] = n
+    grams, both = counts
     smooth = 0.1
-    return np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * TABLE)).astype(np.float32)
+    known = np.log((grams + smooth) / (grams.sum(axis=1, keepdims=True) + smooth * TABLE))
+    # each language has the same part in the background, whatever its sample
+    total = both.sum(axis=1, keepdims=True)
+    shares = (both / np.maximum(total, 1)).sum(axis=0) / max(1, np.count_nonzero(total))
+    pair = (shares * both.sum() + smooth) / (both.sum() * (total.sum() > 0) + smooth * TABLE)
+    given = pair / np.repeat(pair.reshape(256, 256).sum(axis=1), 256)
+    return np.vstack([known, np.log(pair), np.log(given)]).astype(np.float32)
 
 
-def text_evidence(rows: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
+def text_evidence(rows: DataFrame, model: np.ndarray, k: int, text_col: str = "text") -> DataFrame:
     """`rows` without the text, with `grams` (number of trigrams) and `scores`
-    (weighted log likelihood of each language, then "und")."""
+    (weighted log likelihood of each of the k languages, then "und"). A model of k
+    lines has no background but the uniform one."""
     other = [c for c in rows.columns if c != text_col]
     uniform = -math.log(TABLE)
 
@@ -126,10 +158,15 @@ def text_evidence(rows: DataFrame, model: np.ndarray, text_col: str = "text") ->
                 g = trigrams(text or "")
                 grams.append(len(g))
                 if len(g):
-                    mean = [model[i][g].mean(dtype=np.float64) for i in range(len(model))]
-                    scores.append([float(m) * min(len(g), TEXT_WEIGHT) for m in (*mean, uniform)])
+                    mean = [model[i][g].mean(dtype=np.float64) for i in range(k)]
+                    other_text = uniform
+                    if len(model) > k:
+                        one, two = pairs(text)
+                        spread = model[k][one].mean(dtype=np.float64) + model[k + 1][two].mean(dtype=np.float64)
+                        other_text = max(uniform, spread - UNKNOWN_MARGIN)
+                    scores.append([float(m) * min(len(g), TEXT_WEIGHT) for m in (*mean, other_text)])
                 else:
-                    scores.append([0.0] * (len(model) + 1))
+                    scores.append([0.0] * (k + 1))
             cols = [b.column(i) for i in range(len(other))]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(grams, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], [*other, "grams", "scores"]
@@ -208,7 +245,7 @@ def identify(
         optional(host_col, "host"), optional(domain_col, "domain"), optional(suffix_col, "suffix"),
         text_or_empty(text_col).alias("text"),
     )
-    facts = staged(text_evidence(taken, model), "lang-evidence")
+    facts = staged(text_evidence(taken, model, k), "lang-evidence")
     where = facts.select("host", "domain", "suffix", "declared")
     hosts, suffixes = host_priors(where, languages), suffix_likelihoods(where, languages)
     fused = facts.join(
